@@ -63,7 +63,7 @@ def _matrix(column: pa.Array, sketch_bits: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _search_task(shared, k: int, chunk_id: str, vector: str, payload: Sequence[str],
-                 exclude_self: bool, sketch_bits: int, schema: pa.Schema):
+                 exclude_self: bool, sketch_bits: int, query_id: str):
     """mapInArrow function: the best k chunks of this task for every question."""
 
     def prune(table: pa.Table) -> pa.Table:
@@ -79,7 +79,8 @@ def _search_task(shared, k: int, chunk_id: str, vector: str, payload: Sequence[s
         return table.take(pa.array(order[place < k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, questions = shared.value
+        names, questions = shared.value
+        question_ids = np.asarray(names.to_pylist())
         question_norms = np.einsum("ij,ij->i", questions, questions)
         transposed = questions.T
         best: pa.Table | None = None
@@ -129,19 +130,21 @@ def _search_task(shared, k: int, chunk_id: str, vector: str, payload: Sequence[s
                 floor = np.where(counts >= k, lowest, -np.inf)
         if best is None:
             return
-        names = pa.array(question_ids.tolist(), type=schema.field(0).type)
         columns = [names.take(best["__q"].combine_chunks())]
         columns += [best[c].combine_chunks() for c in [chunk_id, *payload, "cosine"]]
-        columns = [c.cast(f.type) for c, f in zip(columns, schema)]
-        table = pa.Table.from_arrays(columns, schema=schema)
+        table = pa.Table.from_arrays(columns, names=[query_id, chunk_id, *payload, "cosine"])
         yield from table.to_batches(max_chunksize=10_000)
 
     return run
 
 
 def _question_blocks(questions: DataFrame, vector: str, sketch_bits: int):
-    """The question matrix in blocks of bounded size; one job when one block is enough."""
+    """(ids, matrix) blocks of bounded size; one job when one block is enough."""
     query_id = questions.columns[0]
+
+    def block_of(table: pa.Table, rows: np.ndarray, matrix: np.ndarray):
+        return table[query_id].combine_chunks().take(pa.array(rows)), matrix
+
     first = questions.limit(MAX_BLOCK_ROWS + 1).toArrow()
     if first.num_rows == 0:
         return
@@ -151,7 +154,7 @@ def _question_blocks(questions: DataFrame, vector: str, sketch_bits: int):
         width = matrix.shape[1] if len(rows) else 0
         if first.num_rows * width * 8 <= MAX_BLOCK_BYTES:
             if len(rows):
-                yield np.asarray(first[query_id].take(pa.array(rows)).to_pylist()), matrix
+                yield block_of(first, rows, matrix)
             return
     if not width:
         _, sample = _matrix(first.slice(0, 64)[vector].combine_chunks(), sketch_bits)
@@ -164,7 +167,7 @@ def _question_blocks(questions: DataFrame, vector: str, sketch_bits: int):
             continue
         rows, matrix = _matrix(chosen[vector].combine_chunks(), sketch_bits)
         if len(rows):
-            yield np.asarray(chosen[query_id].take(pa.array(rows)).to_pylist()), matrix
+            yield block_of(chosen, rows, matrix)
 
 
 def top_k(ranked: DataFrame, query_id: str, order: Sequence[Column], k: int) -> DataFrame:
@@ -202,12 +205,11 @@ def nearest(chunks: DataFrame, questions: DataFrame, k: int = fv.TOP_K, *,
         + [side.schema[c] for c in [chunk_id, *payload]]
         + [T.StructField("cosine", T.DoubleType())]
     )
-    arrow = _arrow_schema(spark, out)
     passes = []
     for block in _question_blocks(asked, "__vector", sketch_bits):
         shared = spark.sparkContext.broadcast(block)
         task = _search_task(
-            shared, k, chunk_id, vector, payload, exclude_self, sketch_bits, arrow
+            shared, k, chunk_id, vector, payload, exclude_self, sketch_bits, query_id
         )
         passes.append(side.mapInArrow(task, out))
     if not passes:
@@ -218,10 +220,6 @@ def nearest(chunks: DataFrame, questions: DataFrame, k: int = fv.TOP_K, *,
     return ranked.withColumn("score", score_of(F.col("cosine")))
 
 
-def _arrow_schema(spark, schema: T.StructType) -> pa.Schema:
-    return spark.createDataFrame([], schema).toArrow().schema
-
-
 def with_sketch(vectors: DataFrame, dimension: int, *, vector: str = "embedding",
                 bits: int = 256, seed: int = 7, out: str = "sketch") -> DataFrame:
     """Add a packed sign sketch of each vector. Store it next to the vector table:
