@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from loomdex import fixed_values as fv
 from loomdex.functions.text import is_blank
+from loomdex.schemas import CITATION
 
 _SOURCE_FIELDS = ("chunkId", "documentId", "title", "sourceUrl", "score")
 
@@ -90,6 +92,12 @@ def answer_records(questions: DataFrame, retrieved: DataFrame, answers: DataFram
         questions.filter(~is_blank(F.col("question"))).select("id", "question")
         .join(lists, "id", "left").join(answers, "id", "left")
     )
+    return assembled_records(joined, no_context_answer)
+
+
+def assembled_records(joined: DataFrame, no_context_answer: str) -> DataFrame:
+    """Answer records from rows that already hold everything about a question:
+    id, question, ``retrieved`` list, answer, retrievalMs, generationMs."""
     nothing = F.col("retrieved").isNull()
     answer = F.when(nothing, F.lit(no_context_answer)).otherwise(F.col("answer"))
     generation = F.when(nothing, F.lit(0)).otherwise(F.col("generationMs"))
@@ -101,8 +109,9 @@ def answer_records(questions: DataFrame, retrieved: DataFrame, answers: DataFram
         "generationMs": generation.cast("long"),
     }).select(
         "id", "question", "answer",
-        F.when(F.col("insufficient") | F.col("retrieved").isNull(), F.filter(cited, lambda c: F.lit(False)))
-        .otherwise(cited).alias("citations"),
+        F.coalesce(
+            F.when(~F.col("insufficient"), cited), F.array().cast(ArrayType(CITATION))
+        ).alias("citations"),
         source_summaries(F.col("retrieved")).alias("retrievedSources"),
         "insufficient",
         F.col("retrievalMs").cast("long").alias("retrievalMs"), "generationMs",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomdex import fixed_values as fv
 from loomdex.functions.text import rate, round_half_up
 from loomdex.operators.answers import source_summaries
-from loomdex.operators.metrics import hit_flags, is_hit, value_stats
+from loomdex.operators.metrics import hit_flags, is_hit
 
 
 def select_experiment(config: DataFrame, experiment: str) -> DataFrame:
@@ -54,17 +54,27 @@ def retrieval_results(questions: DataFrame, retrieved: DataFrame, experiment: st
 
 
 def retrieval_evaluation(rows: DataFrame) -> DataFrame:
-    """Per experiment: questions, successes, hits, rates over both denominators, latency."""
+    """Per experiment: questions, successes, hits, rates over both denominators, latency.
+
+    Rows are counted per (experiment, latency) first, so one pass over the rows
+    gives everything and an experiment's task sees distinct latencies only.
+    """
     hits = [f"hit{k}" for k in fv.HIT_CUTOFFS]
-    counted = rows.groupBy("experiment").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("error").isNull()).alias("success"),
-        *[F.count_if(F.col(h)).alias(f"{h}_raw") for h in hits],
-    )
-    times = value_stats(rows.filter(F.col("error").isNull()), "experiment", "latencyMs")
-    times = times.select("experiment", *[F.col(c).alias(f"latency_{c}")
-                                         for c in ("avg", "p50", "p95", "min", "max")])
-    return counted.join(times, "experiment", "left").select(
+    ok = F.col("error").isNull()
+    counted = rows.groupBy("experiment", F.when(ok, F.col("latencyMs")).alias("ms")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"),
+        *[F.count_if(F.col(h)).alias(h) for h in hits],
+    )
+    timed = F.when(F.col("ms").isNotNull(), F.col("n"))
+    totals = counted.groupBy("experiment").agg(
+        F.sum("n").alias("total"), F.sum("ok").alias("success"),
+        *[F.sum(h).alias(f"{h}_raw") for h in hits],
+        round_half_up(F.sum(F.col("ms") * F.col("n")) / F.sum(timed)).alias("latency_avg"),
+        round_half_up(F.percentile("ms", F.lit(0.5), F.col("n"))).alias("latency_p50"),
+        round_half_up(F.percentile("ms", F.lit(0.95), F.col("n"))).alias("latency_p95"),
+        F.min("ms").alias("latency_min"), F.max("ms").alias("latency_max"),
+    )
+    return totals.select(
         "*",
         *[rate(F.col(f"{h}_raw"), F.col("success")).alias(h) for h in hits],
         *[rate(F.col(f"{h}_raw"), F.col("total")).alias(f"{h}_of_total") for h in hits],
@@ -130,14 +140,14 @@ def compare_categories(rows: DataFrame, experiments: tuple[str, str]) -> DataFra
 
 def flips(rows: DataFrame, experiments: tuple[str, str]) -> DataFrame:
     """Questions whose Hit@1 or Hit@5 differs between two experiments."""
-    first, second = experiments
-
-    def side(experiment: str, prefix: str) -> DataFrame:
-        return rows.filter(F.col("experiment") == experiment).select(
-            "id", F.col("hit1").alias(f"{prefix}_hit1"), F.col("hit5").alias(f"{prefix}_hit5")
-        )
+    def of(experiment: str, flag: str) -> Column:
+        return F.max(F.when(F.col("experiment") == experiment, F.col(flag)))
 
-    both = side(first, "first").join(side(second, "second"), "id")
+    first, second = experiments
+    both = rows.groupBy("id").agg(
+        of(first, "hit1").alias("first_hit1"), of(first, "hit5").alias("first_hit5"),
+        of(second, "hit1").alias("second_hit1"), of(second, "hit5").alias("second_hit5"),
+    )
     return both.filter(
         (F.col("first_hit1") != F.col("second_hit1"))
         | (F.col("first_hit5") != F.col("second_hit5"))

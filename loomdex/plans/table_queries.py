@@ -16,6 +16,7 @@ from loomdex.functions.text import keywords
 from loomdex.operators import answers, chunks, corpus, embedding, experiments
 from loomdex.operators import metrics, retrieval, runs, store, validation
 from loomdex.plans import given_tables as given
+from loomdex.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,7 +594,9 @@ def per_category(spark, folder):
 
 @query
 def metrics_long(spark, folder):
-    return metrics.metrics_long(given.questions(spark, folder), given.results(spark, folder))
+    # eight aggregates read the results; they are computed once and kept
+    results = checkpointed(given.results(spark, folder))
+    return metrics.metrics_long(results.select("id"), results)
 
 
 # --- experiments -----------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "loomdex") -> SparkSession:
@@ -26,9 +26,16 @@ def local_session(cores: int | str = 8, app_name: str = "loomdex") -> SparkSessi
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="loomdex-", dir="/tmp")
-    return folder
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several jobs read, so it is computed once.
+
+    The files go to the shared folder the cluster names in ``spark.checkpoint.dir``;
+    a local folder is set only where there is none, as in tests.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(
+            prefix="loomdex-", dir="/tmp"
+        )
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()
