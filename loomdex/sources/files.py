@@ -29,7 +29,7 @@ def raw_documents(texts: DataFrame) -> DataFrame:
 def read_raw_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.txt`` below a folder, one row per file."""
     return raw_documents(
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     )
 
 

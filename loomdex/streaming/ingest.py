@@ -11,18 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomdex import fixed_values as fv
 from loomdex.functions.vectors import Embedder
+from loomdex.operators.embedding import embedded_rows, failed_rows
 from loomdex.operators.store import upsert_table
 from loomdex.plans.ingest import ingest_plan
 from loomdex.sources.files import raw_documents
-from loomdex.operators.embedding import embedded_rows, failed_rows
 
 
 def raw_file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    texts = (
-        spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.txt")
-        .option("maxFilesPerTrigger", files_per_batch).text(folder)
-    )
-    return raw_documents(texts)
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    return raw_documents(stream.text(folder, wholetext=True, pathGlobFilter="*.txt"))
 
 
 def start_ingest(spark: SparkSession, folder: str, manifest: DataFrame, table: str,
