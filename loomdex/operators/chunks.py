@@ -49,18 +49,23 @@ def chunk_document_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def chunk_report(documents: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
-    """Totals over the chunk table; the smallest id wins among equal lengths."""
-    n_documents = documents.agg(F.count(F.lit(1)).alias("documents"))
-    length = F.length("text")
-    totals = chunks.agg(
-        F.count(F.lit(1)).alias("chunks"),
-        round_half_up(F.avg(length), 0).cast("long").alias("avg_len"),
-        F.min(F.struct(length.alias("n"), F.col("chunkId"))).alias("shortest"),
-        F.min(F.struct((-length).alias("n"), F.col("chunkId"))).alias("longest"),
+    """Totals over the chunk table; the smallest id wins among equal lengths.
+
+    Documents and chunks are counted in one aggregation over their union.
+    """
+    rows = chunks.select("chunkId", F.length("text").alias("n")).unionByName(
+        documents.select(F.lit(None).cast("string").alias("chunkId"),
+                         F.lit(None).cast("int").alias("n"))
+    )
+    is_chunk = F.col("chunkId").isNotNull()
+    totals = rows.agg(
+        F.count_if(~is_chunk).alias("documents"),
+        F.count_if(is_chunk).alias("chunks"),
+        round_half_up(F.avg("n"), 0).cast("long").alias("avg_len"),
+        F.min(F.when(is_chunk, F.struct("n", "chunkId"))).alias("shortest"),
+        F.min(F.when(is_chunk, F.struct((-F.col("n")).alias("n"), "chunkId"))).alias("longest"),
     )
-    # both sides are one-row aggregates, joined on a constant
-    one = F.lit(1).alias("one")
-    return n_documents.select("*", one).join(totals.select("*", one), "one").select(
+    return totals.select(
         "documents", "chunks",
         F.when(F.col("documents") > 0,
                round_half_up(F.col("chunks") / F.col("documents"), 1)).alias("chunks_per_document"),
@@ -74,15 +79,21 @@ def chunk_report(documents: DataFrame, chunks: DataFrame, size: int) -> DataFram
 def overlap_check(chunks: DataFrame) -> DataFrame:
     """For every pair of neighbouring chunks: is the carried tail found in the next one?
 
-    Neighbours are joined on (document, index), a unique key, so a document with
-    very many chunks spreads over all tasks; a window per document would not.
+    Each chunk sends its tail to its own place and its head to the place before;
+    both meet under the key (document, index). One pass over the chunks, at most
+    two rows per key, so a document with very many chunks spreads over all tasks.
     """
     tail = trimmed(F.left(F.expr("right(text, overlap)"), F.lit(fv.OVERLAP_PROBE_CHARS)))
-    ends = chunks.select("documentId", "chunkIndex", tail.alias("probe"))
-    starts = chunks.select(
-        "documentId", (F.col("chunkIndex") - 1).alias("chunkIndex"),
-        F.left(F.col("text"), F.col("overlap") + fv.OVERLAP_PROBE_SLACK).alias("head"),
+    head = F.left(F.col("text"), F.col("overlap") + fv.OVERLAP_PROBE_SLACK)
+    nothing = F.lit(None).cast("string")
+    sent = chunks.select("documentId", F.inline(F.array(
+        F.struct(F.col("chunkIndex"), tail.alias("probe"), nothing.alias("head")),
+        F.struct((F.col("chunkIndex") - 1).alias("chunkIndex"), nothing.alias("probe"),
+                 head.alias("head")),
+    )))
+    met = sent.groupBy("documentId", "chunkIndex").agg(
+        F.max("probe").alias("probe"), F.max("head").alias("head")
     )
-    return ends.join(starts, ["documentId", "chunkIndex"]).select(
+    return met.filter(F.col("probe").isNotNull() & F.col("head").isNotNull()).select(
         "documentId", "chunkIndex", F.contains("head", "probe").alias("overlap_found")
     )

@@ -22,9 +22,11 @@ from loomdex import fixed_values as fv
 from loomdex.functions.text import is_blank
 from loomdex.functions.vectors import Embedder, cosine, score_of, sign_sketcher
 from loomdex.operators.embedding import embed
+from loomdex.session import checkpointed
 
 MAX_BLOCK_ROWS = 4096     # questions per pass
 MAX_BLOCK_BYTES = 64 << 20  # and at most this much of question matrix
+MAX_BROADCAST_ROWS = 1_000_000  # candidate rows (question id, chunk id)
 _SLICE_ROWS = 2048        # rows per matrix product inside a task
 _MERGE_GROUPS = 64        # first-level groups when merging the task results
 
@@ -160,6 +162,7 @@ def _question_blocks(questions: DataFrame, vector: str, sketch_bits: int):
         _, sample = _matrix(first.slice(0, 64)[vector].combine_chunks(), sketch_bits)
         width = max(1, sample.shape[1])
     size = max(1, min(MAX_BLOCK_ROWS, MAX_BLOCK_BYTES // (width * 8)) // 2)
+    questions = checkpointed(questions)  # every block reads it again
     blocks = -(-questions.count() // size)
     for block in range(blocks):
         chosen = questions.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).toArrow()
@@ -193,7 +196,8 @@ def nearest(chunks: DataFrame, questions: DataFrame, k: int = fv.TOP_K, *,
 
     Returns query id, chunk id, payload columns, ``cosine``, ``score``, ``rank``.
     Equal cosines are ordered by chunk id. ``payload`` columns of the chunk table
-    travel along, so that no join back is needed.
+    travel along, so that no join back is needed. A question table of more than
+    one block reads ``chunks`` once per block: pass a stored table then.
     """
     _check_k(k)
     spark = chunks.sparkSession
@@ -267,9 +271,16 @@ def nearest_approximate(chunks: DataFrame, questions: DataFrame, k: int = fv.TOP
         sketched.select(chunk_id, sketch), asked, candidates, chunk_id=chunk_id, vector=sketch,
         query_id=query_id, query_vector="__qs", exclude_self=exclude_self, sketch_bits=bits,
     ).select(query_id, chunk_id)
+    asked_vectors = asked.select(query_id, "__qv")
+    n_questions = questions.count()
+    # Both sides have a known size. While it is small they go to the vectors, which
+    # then are not shuffled; otherwise Spark shuffles.
+    if n_questions * candidates <= MAX_BROADCAST_ROWS:
+        near = F.broadcast(near)
+    if n_questions * dimension * 8 <= MAX_BLOCK_BYTES:
+        asked_vectors = F.broadcast(asked_vectors)
     scored = (
-        near.join(chunks.select(chunk_id, vector), chunk_id)
-        .join(asked.select(query_id, "__qv"), query_id)
+        chunks.select(chunk_id, vector).join(near, chunk_id).join(asked_vectors, query_id)
         .select(query_id, chunk_id, cosine(F.col(vector), F.col("__qv")).alias("cosine"))
     )
     best = Window.partitionBy(query_id).orderBy(F.desc("cosine"), F.asc(chunk_id))
@@ -288,7 +299,9 @@ def retrieve(embedded_chunks: DataFrame, questions: DataFrame, embedder: Embedde
              k: int = fv.TOP_K, *, query_id: str = "id", text: str = "question") -> DataFrame:
     """Embed the whole question table and find the k nearest chunks of each question.
 
-    Chunk metadata and text come along, the vector does not.
+    ``embedder`` is the one for questions; a model with separate modes for
+    documents and questions is given in its question mode here. Chunk metadata
+    and text come along, the vector does not.
     """
     asked = embed(
         valid_questions(questions, text).select(F.col(query_id).alias("queryId"),

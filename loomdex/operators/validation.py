@@ -126,6 +126,21 @@ def store_verdict(stored: DataFrame, dimension: int = fv.EMBEDDING_DIMENSION,
     )
 
 
+def sample_record(stored: DataFrame, key: str = "chunkId",
+                  vector: str = "embedding") -> DataFrame:
+    """One stored row that has a vector (the smallest key), with the first value of
+    the vector and its length instead of the vector."""
+    rest = [c for c in stored.columns if c not in (key, vector)]
+    shown = F.struct(
+        F.col(key), *rest, F.slice(F.col(vector), 1, 1).alias("first_values"),
+        F.size(vector).alias("dimension"),
+    )
+    with_vector = stored.filter(~has_no_vector(F.col(vector)))
+    return with_vector.agg(F.min_by(shown, F.col(key)).alias("r")).filter(
+        F.col("r").isNotNull()
+    ).select("r.*")
+
+
 def chunk_table_check(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
     """Ids, blank texts and the recorded configuration of every row, with the verdict."""
     per_key = chunks.groupBy("chunkId").agg(

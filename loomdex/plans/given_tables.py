@@ -46,13 +46,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Spread the rows of a table stored in fewer files than there are cores.
+    """On one machine, spread a table kept in a single file over all cores.
 
-    A single small file has one row group and would keep one core busy. Tables
-    of many files are left as they are, without a shuffle.
+    A small file has one row group, which would keep one core busy. On a cluster
+    the many files of a table already do that, and nothing is shuffled.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    context = rows.sparkSession.sparkContext
+    if context.master.startswith("local"):
+        return rows.repartition(context.defaultParallelism)
+    return rows
 
 
 def document_id(number: str | Column) -> Column:

@@ -244,6 +244,15 @@ def store_verdict(spark, folder):
     return validation.store_verdict(vectors, dimension=64, key="vec_id")
 
 
+@query
+def store_sample(spark, folder):
+    sample = validation.sample_record(given.table(spark, folder, "embeddings"), key="vec_id")
+    return sample.select(
+        "vec_id", "label", "dimension",
+        F.round(F.get(F.col("first_values"), F.lit(0)).cast("double"), 6).alias("first_value"),
+    )
+
+
 @query
 def chunk_file_check(spark, folder):
     return validation.chunk_table_check(given.chunks(spark, folder), 800, 100)

@@ -430,6 +430,9 @@ SELECT count(*) > 0 AS count_ok, count(*) FILTER (embedding IS NULL) = 0 AS no_m
   bool_and(len(embedding) = 64) AS dimension_ok,
   count(*) > 0 AND count(*) FILTER (embedding IS NULL) = 0 AND count(*) = count(DISTINCT vec_id)
     AND bool_and(len(embedding) = 64) AS passed FROM embeddings"""
+SQL["store_sample"] = """
+SELECT vec_id, label, len(embedding) AS dimension, round(embedding[1]::DOUBLE, 6) AS first_value
+FROM embeddings WHERE len(embedding) > 0 ORDER BY vec_id LIMIT 1"""
 SQL["chunk_file_check"] = with_(DOCS, C800, select=f"""
 SELECT count(*) AS n_chunks, count(DISTINCT chunkId) AS unique_ids,
   count(*) - count(DISTINCT chunkId) AS duplicate_ids,
