@@ -86,7 +86,9 @@ def _search_task(shared, k: int, chunk_id: str, vector: str, payload: Sequence[s
         question_norms = np.einsum("ij,ij->i", questions, questions)
         transposed = questions.T
         best: pa.Table | None = None
-        floor = np.full(len(questions), -np.inf)  # k-th best cosine so far
+        # the k-th best cosine and its chunk id, for questions that have k chunks
+        floor = np.full(len(questions), -np.inf)
+        floor_id = np.full(len(questions), None, dtype=object)
         for batch in batches:
             rows, matrix = _matrix(batch.column(vector), sketch_bits)
             if len(rows) and matrix.shape[1] != questions.shape[1]:
@@ -111,13 +113,16 @@ def _search_task(shared, k: int, chunk_id: str, vector: str, payload: Sequence[s
                 picked_rows, picked_questions = [], []
                 for q in np.flatnonzero((top >= floor) & (top > -np.inf)):
                     column = values[:, q]
-                    near = np.flatnonzero((column >= floor[q]) & (column > -np.inf))
+                    better = column > floor[q]
+                    if floor_id[q] is not None:  # of many equal copies only smaller ids count
+                        better |= (column == floor[q]) & (ids < floor_id[q])
+                    near = np.flatnonzero(better)
                     near = near[np.argsort(-column[near], kind="stable")[:k]]
                     picked_rows.append(near)
                     picked_questions.append(np.full(len(near), q, dtype=np.int64))
-                if not picked_rows:
+                at = np.concatenate(picked_rows) if picked_rows else np.empty(0, dtype=np.int64)
+                if len(at) == 0:
                     continue
-                at = np.concatenate(picked_rows)
                 asked = np.concatenate(picked_questions)
                 found = pa.Table.from_batches([batch.select([chunk_id, *payload])]).take(
                     pa.array(part_rows[at])
@@ -126,10 +131,10 @@ def _search_task(shared, k: int, chunk_id: str, vector: str, payload: Sequence[s
                 found = found.append_column("cosine", pa.array(values[at, asked]))
                 best = prune(found if best is None else pa.concat_tables([best, found]))
                 asked = best["__q"].to_numpy()
-                counts = np.bincount(asked, minlength=len(questions))
-                lowest = np.full(len(questions), np.inf)
-                np.minimum.at(lowest, asked, best["cosine"].to_numpy())
-                floor = np.where(counts >= k, lowest, -np.inf)
+                full = np.flatnonzero(np.bincount(asked, minlength=len(questions)) >= k)
+                last = np.searchsorted(asked, full, side="right") - 1
+                floor[full] = best["cosine"].to_numpy()[last]
+                floor_id[full] = best[chunk_id].take(pa.array(last)).to_pylist()
         if best is None:
             return
         columns = [names.take(best["__q"].combine_chunks())]

@@ -6,6 +6,7 @@ Everything here is derived from whole tables; nothing is sampled or cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,7 +133,7 @@ def first_containing_document(docs: DataFrame, items: DataFrame) -> DataFrame:
                 )
         return run
 
-    found = docs.sparkSession.createDataFrame([], out)
+    passes = []
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
         ids_of: dict[str, list[int]] = {}
@@ -141,9 +142,10 @@ def first_containing_document(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ids_of.setdefault(text, []).append(item)
         if ids_of:
             shared = docs.sparkSession.sparkContext.broadcast(ids_of)
-            found = found.unionByName(
+            passes.append(
                 docs.select("doc_id", "text", "lang", "source").mapInArrow(search(shared), out)
             )
+    found = reduce(DataFrame.union, passes or [docs.sparkSession.createDataFrame([], out)])
     first = found.groupBy("item_id").agg(F.min(F.struct("doc_id", "lang", "source")).alias("d"))
     return first.select("item_id", "d.*")
 
