@@ -19,7 +19,7 @@ from loomdex.session import local_session  # noqa: E402
 HEADLINE = (
     "clean_corpus", "parse_report", "chunk_800", "chunk_300", "chunk_doc_stats",
     "chunk_overlap_check", "embed_hashed", "validate_input", "store_check", "upsert_chunks",
-    "topk_cosine", "topk_approximate", "retrieve_all", "retrieve_300", "build_prompt",
+    "topk_cosine", "topk_lsh", "retrieve_all", "retrieve_300", "build_prompt",
     "citations", "answer_records", "hit_at_k", "answer_quality", "metrics_long",
     "retrieval_eval", "merge_results", "latency_events",
 )

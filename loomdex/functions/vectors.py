@@ -27,26 +27,36 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
+class _Buckets(dict):
+    """Bucket per term, filled on first use. A cache, not a vocabulary: it starts
+    anew when it has grown large."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, term: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        at = int(hashlib.md5(term.encode()).hexdigest()[:7], 16) % self.size
+        self[term] = at
+        return at
+
+
 def hashed_embedder(buckets: int = HASH_BUCKETS) -> Embedder:
     """Term counts per hash bucket. Counts are whole numbers, so dot products are exact."""
-    known: dict[str, int] = {}
-
-    def bucket(term: str) -> int:
-        at = known.get(term)
-        if at is None:
-            if len(known) > 500_000:  # a cache, not a vocabulary
-                known.clear()
-            at = int(hashlib.md5(term.encode()).hexdigest()[:7], 16) % buckets
-            known[term] = at
-        return at
+    bucket_of = None
 
     def embed(texts: Sequence[str]) -> np.ndarray:
-        rows = [[bucket(t) for t in _WORD.findall(text.lower())] for text in texts]
-        sizes = np.fromiter((len(r) for r in rows), dtype=np.int64, count=len(rows))
-        flat = np.fromiter((b for r in rows for b in r), dtype=np.int64, count=int(sizes.sum()))
-        cells = np.repeat(np.arange(len(rows), dtype=np.int64), sizes) * buckets + flat
-        counts = np.bincount(cells, minlength=len(rows) * buckets)
-        return counts.reshape(len(rows), buckets).astype(np.float32)
+        nonlocal bucket_of
+        if bucket_of is None:  # made in the worker, so that no cache is shipped
+            bucket_of = _Buckets(buckets)
+        counts = np.zeros((len(texts), buckets), dtype=np.float32)
+        for row, text in enumerate(texts):
+            found = list(map(bucket_of.__getitem__, _WORD.findall(text.lower())))
+            if found:
+                counts[row] = np.bincount(found, minlength=buckets)
+        return counts
 
     return embed
 

@@ -24,7 +24,7 @@ PAIR = ("chunk-300", "chunk-800")
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -305,7 +305,7 @@ def topk_cosine(spark, folder):
 
 
 @query
-def topk_approximate(spark, folder):
+def topk_lsh(spark, folder):
     vectors = given.table(spark, folder, "embeddings")
     found = retrieval.nearest_approximate(
         vectors.drop("label"), given.label_centroids(spark, folder), 5, dimension=64,
@@ -550,7 +550,7 @@ def oos_rate(spark, folder):
 
 
 @query
-def keyword_lists(spark, folder):
+def keywords_(spark, folder):
     return given.documents(spark, folder).select(
         "documentId", F.array_join(F.array_sort(keywords(F.col("text"))), " ").alias("keywords")
     )

@@ -34,8 +34,6 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(
-            prefix="loomdex-", dir="/tmp"
-        )
-        context.setCheckpointDir(folder)
+        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomdex-", dir="/tmp"))
     return rows.checkpoint()

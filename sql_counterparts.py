@@ -629,7 +629,7 @@ def words(x: str) -> str:
     return f"list_filter({found}, lambda w: NOT list_contains({_STOP}, w))"
 
 
-SQL["keyword_lists"] = with_(DOCS, select=f"""
+SQL["keywords"] = with_(DOCS, select=f"""
 SELECT documentId AS "documentId", array_to_string(list_sort({words('text')}), ' ') AS keywords
 FROM docs""")
 
