@@ -2,7 +2,10 @@
 
 The table is Parquet, partitioned by experiment and by a hash shard of the key.
 The shard comes from the unique key, so no shard grows with a popular document,
-and an upsert rewrites only the shards it touches.
+and an upsert rewrites only the shards it touches. Use one number of shards for all
+writes to a table, such that a shard holds a few gigabytes. Before writing, rows are
+rebalanced by shard: adaptive execution then splits a large shard over several
+tasks and files, and merges small ones.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 
 from loomdex.operators.validation import duplicate_keys
 
-SHARDS = 64
+SHARDS = 1024
 
 
 def upserted(existing: DataFrame, updates: DataFrame, key: str = "chunkId") -> DataFrame:
@@ -56,7 +59,7 @@ def first_rows(chunks: DataFrame, n: int) -> DataFrame:
 def replace_experiment(spark: SparkSession, path: str, records: DataFrame, experiment: str,
                        key: str = "chunkId", shards: int = SHARDS) -> None:
     """Clear one experiment and load it anew; other experiments stay as they are."""
-    sharded = with_shard(records, key, shards).repartition("shard")
+    sharded = with_shard(records, key, shards).hint("rebalance", "shard")
     sharded.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/experiment={experiment}")
 
 
@@ -93,18 +96,18 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, experiment:
 
     Only the shards of the batch are read and rewritten (dynamic partition
     overwrite: files are staged first and moved when the job has succeeded).
+    ``updates`` is read several times: pass a stored table.
     """
     if duplicate_keys(updates, key).limit(1).count():
         raise ValueError(f"the batch has duplicate values of {key}")
     batch = with_shard(updates, key, shards).withColumn("experiment", F.lit(experiment))
     stored = read_store(spark, path, updates.schema)
-    touched = batch.select("shard").distinct()  # at most one row per shard
-    old = stored.filter(F.col("experiment") == experiment).join(
-        F.broadcast(touched), "shard", "left_semi"
-    )
+    # at most ``shards`` numbers; as literals they prune the partitions that are read
+    touched = [row["shard"] for row in batch.select("shard").distinct().collect()]
+    old = stored.filter((F.col("experiment") == experiment) & F.col("shard").isin(touched))
     merged = upserted(old, batch.select(*old.columns), key)
     (
-        merged.repartition("experiment", "shard").write.mode("overwrite")
+        merged.hint("rebalance", "shard").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("experiment", "shard").parquet(path)
     )

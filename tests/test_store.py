@@ -99,4 +99,4 @@ def test_swap_counts_and_first_rows(spark):
     assert [tuple(r) for r in store.first_rows(chunks, 2).collect()] == [("d1", 0), ("d1", 1)]
     with pytest.raises(ValueError):
         store.first_rows(chunks, 0)
-    assert store.with_shard(rows(spark, ("a", "1"))).select(F.col("shard").between(0, 63)).first()[0]
+    assert store.with_shard(rows(spark, ("a", "1"))).select(F.col("shard").between(0, store.SHARDS - 1)).first()[0]
