@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex import fixed_values as fv
 from loomdex.functions.markup import clean_markup, first_line_title
-from loomdex.functions.text import is_blank, round_half_up, trimmed
+from loomdex.functions.text import round_half_up, trimmed
 
 
 def missing_documents(selection: DataFrame, corpus: DataFrame, key: str = "id") -> DataFrame:
@@ -134,7 +134,3 @@ def cleaning_effect(cleaned: DataFrame) -> DataFrame:
         round_half_up(share * 100, 0).cast("long").alias("reduction_percent"),
         preview.alias("preview"),
     )
-
-
-def blank_documents(documents: DataFrame) -> DataFrame:
-    return documents.filter(is_blank(F.col("text")))

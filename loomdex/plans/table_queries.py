@@ -32,12 +32,6 @@ def r6(column: str):
     return F.round(F.col(column), 6).alias(column)
 
 
-def _lists(rows: DataFrame, *keep: str) -> DataFrame:
-    """Retrieved documents of result rows as one text, for comparison."""
-    ids = F.array_join(F.transform("retrievedSources", lambda c: c["chunkId"]), ",")
-    return rows.select(*keep, ids.alias("retrieved"))
-
-
 # --- corpus ------------------------------------------------------------------
 def _corpus(spark, folder):
     return given.table(spark, folder, "documents").select(given.document_id("doc_id").alias("id"), "text")

@@ -58,7 +58,7 @@ def test_titles(spark, text, expected):
         (":doc:`/path/page`", "/path/page"),
         ("``code``", "code"),
         ("a |sub| b", "a  b"),
-        ("a {+atlas+} b", "a  b"),
+        ("a {+name+} b", "a  b"),
         ("a {+two words+} b", "a  b"),
         ("`plain`", "`plain`"),
         ("1 | 2 | 3", "1 | 2 | 3"),
