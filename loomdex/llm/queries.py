@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import (
     bpe,
+    line_dedup,
     quality_classifier,
     quality_rules,
 )
@@ -38,6 +39,13 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decodedText").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.deduplicated(_documents(spark, folder)).select(
+        F.col("documentId").alias("doc_id"), F.col("nLines").alias("n_lines"),
+        F.col("nRemovedLines").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder)
     labels = _quality(spark, folder).filter(~_held_out("documentId"))
@@ -58,6 +66,30 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_quality_classifier, op9_quality_rules)
+    f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_quality_classifier, op9_quality_rules)
 }
-SQL: dict[str, str] = {}
+_LINE_DEDUP = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (
+  SELECT doc_id, i, lines[i] AS line, trim(lines[i], E' \\t\\v\\f\\r') AS words
+  FROM cut, unnest(range(1, len(lines) + 1)) AS u(i)),
+worded AS (
+  SELECT doc_id, i, words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place
+  FROM numbered WHERE words <> ''),
+pairs AS (
+  SELECT doc_id, place, words AS a, lead(words) OVER (PARTITION BY doc_id ORDER BY place) AS b
+  FROM worded),
+ranked AS (
+  SELECT doc_id, place, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, place) AS k
+  FROM pairs WHERE b IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, place + d AS place FROM ranked, (VALUES (0), (1)) AS v(d) WHERE k > 1),
+marked AS (
+  SELECT n.doc_id, n.i, n.line, n.words <> '' AS worded, g.doc_id IS NOT NULL AS gone
+  FROM numbered n LEFT JOIN worded w ON w.doc_id = n.doc_id AND w.i = n.i
+  LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.place = w.place)
+SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+SQL: dict[str, str] = {"op3_line_dedup": _LINE_DEDUP}
