@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import (
     bpe,
+    decontamination,
     line_dedup,
     quality_classifier,
     quality_rules,
@@ -55,6 +56,19 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/benchmark.parquet").select(
+        F.col("item_id").alias("id"), F.col("text").alias("question"))
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and benchmark item it contains."""
+    return decontamination.contaminated(
+        _documents(spark, folder), _questions(spark, folder)).select(
+        F.col("documentId").alias("doc_id"), F.col("id").alias("item_id"), "similarity",
+        F.col("firstWord").alias("first_word"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder)
     model = quality_rules.fit(documents, _quality(spark, folder))
@@ -66,7 +80,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_quality_classifier, op9_quality_rules)
+    f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_quality_classifier, op7_decontamination, op9_quality_rules)
 }
 _LINE_DEDUP = """
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

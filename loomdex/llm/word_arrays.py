@@ -18,6 +18,8 @@ SHINGLE_WORDS = 5
 SLICE_BYTES = 1 << 20       # texts are hashed in slices of about this many bytes
 _BASE = 0x9E3779B97F4A7C15 | 1
 
+_LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
 
 def _constants(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers that are the same everywhere."""
@@ -59,7 +61,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a list of texts: byte ranges and hashes, and their rows' ranges."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False) -> None:
+    def __init__(
+        self, texts: list[str | None], lower: bool = False, letters: bool = False,
+    ) -> None:
+        """``lower``: A-Z count as a-z. ``letters``: case is ignored wholly, and every ASCII
+        character but letters and digits separates words."""
+        if letters:
+            texts = [(t or "").lower() for t in texts]
         parts = [(t or "").encode("utf-8", "replace") for t in texts]
         joined = b" ".join([*parts, b""])
         data = np.frombuffer(joined, np.uint8)
@@ -68,7 +76,10 @@ class Words:
         self.data, self.bytes = data, data.tobytes() if lower else joined
         lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
         self.row_starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        if letters:
+            inside = _LETTERS[data]
+        else:
+            inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         #: Words of row i are first[i] up to first[i + 1].
