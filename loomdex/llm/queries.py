@@ -12,6 +12,7 @@ from loomdex.llm import (
     bpe,
     decontamination,
     line_dedup,
+    ngram_join,
     quality_classifier,
     quality_rules,
 )
@@ -40,6 +41,12 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decodedText").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked(_documents(spark, folder)).select(
+        F.col("documentId").alias("doc_id"), F.col("nShingles").alias("n_shingles"),
+        F.col("componentId").alias("component_id"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduplicated(_documents(spark, folder)).select(
         F.col("documentId").alias("doc_id"), F.col("nLines").alias("n_lines"),
@@ -80,7 +87,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_quality_classifier, op7_decontamination, op9_quality_rules)
+    f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_line_dedup, op4_quality_classifier, op7_decontamination, op9_quality_rules)
 }
 _LINE_DEDUP = """
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
