@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomdex.llm.suffix_automaton import EntryAutomaton
 from loomdex.llm.word_arrays import slices, worker_cached
 
 MAX_VOCABULARY_BYTES = 64 << 20     # larger files are refused: the vocabulary is broadcast
@@ -30,60 +31,6 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _BEYOND_LATIN = re.compile("[^\n\t\r -~\xa1-\u024f]")
 
 
-class SuffixAutomaton:
-    """Which vocabulary entries end at each position of a string."""
-
-    def __init__(self, entries: dict[str, int]) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        for entry in entries:
-            self._add(entry)
-        held: dict[int, list[tuple[int, int]]] = {}
-        for entry, number in entries.items():
-            state = 0
-            for c in entry:
-                state = self.next[state][c]
-            held.setdefault(state, []).append((len(entry), number))
-        #: Per state: (length, entry) of all entries that can end there, longest first.
-        self.ending: list[list[tuple[int, int]]] = [[]] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            above = self.ending[self.link[s]]
-            self.ending[s] = sorted(held[s], reverse=True) + above if s in held else above
-
-    def _add(self, entry: str) -> None:
-        nxt, link, length = self.next, self.link, self.length
-        last = 0
-        for c in entry:
-            old = nxt[last].get(c)
-            if old is not None:
-                last = old if length[old] == length[last] + 1 else self._clone(last, old, c)
-                continue
-            new = len(link)
-            nxt.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = new
-                p = link[p]
-            if p != -1:
-                q = nxt[p][c]
-                link[new] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
-            last = new
-
-    def _clone(self, p: int, q: int, c: str) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        copy = len(link)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = copy
-            p = link[p]
-        link[q] = copy
-        return copy
-
-
 class Codec:
     """Encoder and decoder of a byte-level vocabulary with word ends."""
 
@@ -129,7 +76,7 @@ class Codec:
             self.pair[vocabulary[a] * _PAIR + vocabulary[b]] = order
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (vocabulary[a], vocabulary[b]), order
-        self.automaton = SuffixAutomaton({s: i for s, i in ids.items() if i in self.rank})
+        self.automaton = EntryAutomaton({s: i for s, i in ids.items() if i in self.rank})
         self.known: dict[str, tuple[int, ...]] = {}
         self.compatible: dict[int, bool] = {}
 

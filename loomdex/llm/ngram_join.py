@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.partitions import checkpointed, components, probably_in, sorted_groups
+from loomdex.llm.partitions import IdFilter, checkpointed, components, sorted_groups
 from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
 
 PERCENT = 75
@@ -281,7 +281,7 @@ def _links(documents: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
                 names=["id", "set"])
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = probably_in(documents, "documentId", met)
+    texts = IdFilter(met).keep(documents, "documentId")
     known = texts.mapInArrow(sets, f"id {key}, set binary")
     rows = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(
         known.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")

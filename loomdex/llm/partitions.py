@@ -58,39 +58,44 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
         yield pa.concat_tables(held)
 
 
-def _places(key: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(FILTER_BITS)) for i in range(_FILTER_HASHES)]
+class IdFilter:
+    """A Bloom filter of fixed size over the values of ``ids``' only column.
 
-
-def probably_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose ``column`` is among the values of ``ids``' only column, and few others.
-
-    A Bloom filter of fixed size is broadcast, so that rows without a partner are dropped
-    before a join shuffles their texts. It never drops a partner; when there are more ids
-    than it was made for, it only drops less.
+    It is broadcast to drop rows without a partner before a join shuffles their texts. It
+    never drops a partner; with more ids than it was made for, it only drops less.
     """
-    words = (
-        ids.select(F.explode(F.array(*_places(F.col(ids.columns[0])))).alias("place"))
-        .groupBy(F.shiftright("place", 5).cast("int").alias("word"))
-        .agg(F.bit_or(F.pow(F.lit(2.0), F.col("place") % 32).cast("long"))
-             .alias("bits")).toArrow()
-    )
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-    width = len(rows.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i in range(width, batch.num_columns):
-                place = batch.column(i).to_numpy()
-                keep &= (shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
-            yield pa.RecordBatch.from_arrays(
-                batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(keep))
-
-    return rows.select("*", *[p.alias(f"_place{i}") for i, p in enumerate(_places(F.col(column)))]
-                       ).mapInArrow(run, rows.schema)
+
+    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS) -> None:
+        self.bits = bits
+        words = (
+            ids.select(F.explode(F.array(*self._places(F.col(ids.columns[0])))).alias("place"))
+            .groupBy(F.shiftright("place", 5).cast("int").alias("word"))
+            .agg(F.bit_or(F.pow(F.lit(2.0), F.col("place") % 32).cast("long")).alias("bits"))
+            .toArrow()
+        )
+        held = np.zeros(bits // 32, np.uint32)
+        held[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+        self.shared = ids.sparkSession.sparkContext.broadcast(held)
+
+    def _places(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(self.bits)) for i in range(_FILTER_HASHES)]
+
+    def keep(self, rows: DataFrame, column: str, met: bool = True) -> DataFrame:
+        """The rows whose ``column`` is probably met; or, if not ``met``, surely is not."""
+        shared, width = self.shared, len(rows.columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.ones(batch.num_rows, bool)
+                for i in range(width, batch.num_columns):
+                    place = batch.column(i).to_numpy()
+                    found &= (shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+                yield pa.RecordBatch.from_arrays(
+                    batch.columns[:width], names=batch.schema.names[:width],
+                ).filter(pa.array(found == met))
+
+        places = [p.alias(f"_place{i}") for i, p in enumerate(self._places(F.col(column)))]
+        return rows.select("*", *places).mapInArrow(run, rows.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

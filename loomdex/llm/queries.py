@@ -15,6 +15,7 @@ from loomdex.llm import (
     ngram_join,
     quality_classifier,
     quality_rules,
+    substring_dedup,
 )
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,6 +64,13 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.deduplicated(_documents(spark, folder)).select(
+        F.col("documentId").alias("doc_id"), F.col("nWords").alias("n_words"),
+        F.col("nRemoved").alias("n_removed"),
+        F.sha2(F.col("keptText").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/benchmark.parquet").select(
         F.col("item_id").alias("id"), F.col("text").alias("question"))
@@ -87,7 +95,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_line_dedup, op4_quality_classifier, op7_decontamination, op9_quality_rules)
+    f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_line_dedup, op4_quality_classifier, op6_substring_dedup,
+    op7_decontamination, op9_quality_rules)
 }
 _LINE_DEDUP = """
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
