@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import (
     bpe,
+    chat_formatting,
     decontamination,
     line_dedup,
+    lm_scoring,
     ngram_join,
     quality_classifier,
     quality_rules,
     substring_dedup,
+    url_filters,
 )
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed values of the query: verdict, host and start of the path.
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+    ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(
         F.col("doc_id").alias("documentId"), "text")
@@ -64,6 +74,13 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select(
+        F.col("page_id").alias("documentId"), F.col("url").alias("sourceUrl"))
+    rules = spark.createDataFrame(URL_RULES, "verdict string, rule string")
+    return url_filters.verdicts(pages, rules).withColumnRenamed("documentId", "page_id")
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.deduplicated(_documents(spark, folder)).select(
         F.col("documentId").alias("doc_id"), F.col("nWords").alias("n_words"),
@@ -84,6 +101,16 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.col("firstWord").alias("first_word"))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Target: the turns of all conversations. Background: all documents."""
+    documents = _documents(spark, folder)
+    target = spark.read.parquet(f"{folder}/conversations.parquet").select("text")
+    return lm_scoring.score(documents, lm_scoring.fit(target, documents)).select(
+        F.col("documentId").alias("doc_id"), F.col("nWords").alias("n_words"),
+        F.col("targetLoss").alias("target_loss"),
+        F.col("backgroundLoss").alias("background_loss"), "score")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder)
     model = quality_rules.fit(documents, _quality(spark, folder))
@@ -94,10 +121,18 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.col("baseFailed").alias("base_failed"), "probability", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_line_dedup, op4_quality_classifier, op6_substring_dedup,
-    op7_decontamination, op9_quality_rules)
-}
+def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").withColumnRenamed("conv_id", "id")
+    return chat_formatting.repaired(turns).select(
+        F.col("id").alias("conv_id"), "turn", "role", "action",
+        F.col("repairedRole").alias("repaired_role"), "cost", "rendered")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_bpe, op2_ngram_join, op3_line_dedup, op4_quality_classifier, op5_url_filters,
+    op6_substring_dedup, op7_decontamination, op8_lm_scoring, op9_quality_rules,
+    op10_chat_formatting,
+)}
 _LINE_DEDUP = """
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 numbered AS (
@@ -122,4 +157,22 @@ SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
-SQL: dict[str, str] = {"op3_line_dedup": _LINE_DEDUP}
+_URL_FILTERS = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3)
+    ELSE '' END AS rest FROM pages),
+parted AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fitting AS (
+  SELECT p.page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (
+    PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+  FROM parted p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host))
+    AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parted p LEFT JOIN fitting f ON f.page_id = p.page_id AND f.k = 1
+"""
+SQL: dict[str, str] = {"op3_line_dedup": _LINE_DEDUP, "op5_url_filters": _URL_FILTERS}
