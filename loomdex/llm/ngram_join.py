@@ -331,3 +331,17 @@ def linked(documents: DataFrame) -> DataFrame:
         "left",
     ).select("documentId", F.col("n").alias("nShingles"),
              F.coalesce("component", "documentId").alias("componentId"))
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """The document rows, with all their columns, that ``linked`` names as their class.
+
+    Only rows whose documentId may belong to a dropped copy are shuffled.
+    """
+    classes = linked(documents)
+    dropped = checkpointed(
+        classes.filter(F.col("documentId") != F.col("componentId")).select("documentId").distinct())
+    found = IdFilter(dropped)
+    return found.keep(documents, "documentId", met=False).unionByName(
+        found.keep(documents, "documentId").join(dropped, "documentId", "left_anti").select(
+            documents.columns))

@@ -132,6 +132,18 @@ def signals(words: Words) -> dict[str, np.ndarray]:
     return out
 
 
+def _verdicts(texts: list[str | None], model: LogisticModel | None):
+    """Counts, base rule, probabilities (None without a model) and verdicts of texts."""
+    words = Words(texts)
+    found = signals(words)
+    failed = ((found["nWords"] < MIN_WORDS) | (
+        100 * found["nRepeatWords"] > MAX_REPEATED_PERCENT * found["nWords"]))
+    if model is None:
+        return found, failed, None, ~failed
+    probability = model.probability(_ngrams(words))
+    return found, failed, probability, ~failed & (probability >= MIN_PROBABILITY)
+
+
 def judged(documents: DataFrame, model: LogisticModel | None) -> DataFrame:
     """Counts, base rule, probability and verdict of every whole document.
 
@@ -152,17 +164,23 @@ def judged(documents: DataFrame, model: LogisticModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches, 1):
-            words = Words(texts)
-            found = signals(words)
-            failed = ((found["nWords"] < MIN_WORDS) | (
-                100 * found["nRepeatWords"] > MAX_REPEATED_PERCENT * found["nWords"]))
-            if shared.value is None:
-                probability, kept = pa.nulls(len(texts), pa.float64()), ~failed
-            else:
-                p = shared.value.probability(_ngrams(words))
-                probability, kept = pa.array(p), ~failed & (p >= MIN_PROBABILITY)
+            found, failed, probability, kept = _verdicts(texts, shared.value)
+            if probability is None:
+                probability = pa.nulls(len(texts), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), *[pa.array(found[c].astype(np.int64)) for c in counts],
-                 pa.array(failed), probability, pa.array(kept)], names=out.names)
+                 pa.array(failed), pa.array(probability), pa.array(kept)], names=out.names)
 
     return rows.mapInArrow(run, out)
+
+
+def kept(documents: DataFrame, model: LogisticModel | None) -> DataFrame:
+    """The document rows, with all their columns, that ``judged`` keeps; nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in slices(batches, place):
+            yield piece.filter(pa.array(_verdicts(texts, shared.value)[3]))
+
+    return documents.mapInArrow(run, documents.schema)
