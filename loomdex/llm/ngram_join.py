@@ -3,7 +3,9 @@
 Documents with equal shingle sets are one representative. Shingles have one global
 order: those in very many documents last, else by hash. Two sets of similarity 0.75 share
 a shingle within the first quarter of either, so representatives meet in the groups of
-these shingles. Each group is searched with a signature tree: hierarchical nodes hold the
+these shingles. Within a group a pair whose sizes, or whose shingles behind the shared one,
+leave too little room cannot link by that shingle; members without a partner drop out.
+What is left of a group is searched with a signature tree: hierarchical nodes hold the
 OR of their members' token bitmaps and their size range, and a dual traversal drops node
 pairs whose largest possible overlap is too small. Remaining pairs are verified on the
 exact sets. A first search links each member to its likeliest partner only; the second
@@ -26,9 +28,10 @@ from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
 PERCENT = 75
 HOT_SHARE = 0.005           # shingles of a larger share of a partition's documents come last
 BLOCK_MEMBERS = 1000        # larger groups are searched in pairs of blocks of this size
-MAX_BITS = 1 << 14          # of a bitmap; longer sets only get a weaker bound
+FILTERED_MEMBERS = 4000     # members of larger groups all go on to the tree
+MAX_BITS = 1 << 16          # of a bitmap; longer sets only get a weaker bound
 _NODE = 8                   # children of a tree node
-_FRONTIER = 1 << 15         # node pairs looked at together
+_FRONTIER_WORDS = 1 << 20   # of the bitmaps of node pairs that are looked at together
 
 
 def _needed(a, b):
@@ -43,7 +46,7 @@ def _prefix_length(n: int) -> int:
 # --- signatures -----------------------------------------------------------------
 def _bitmap(shingles: np.ndarray) -> bytes:
     width = 64
-    while width < min(4 * len(shingles), MAX_BITS):
+    while width < min(8 * len(shingles), MAX_BITS):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
@@ -64,9 +67,13 @@ def _folded(bitmap: bytes, words: int) -> np.ndarray:
 class SignatureTree:
     """Levels of nodes over the members of a group, leaves (single members) first."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes], classes: np.ndarray) -> None:
-        words = min(len(b) // 8 for b in bitmaps)
-        words = max(words, min(64, max(len(b) // 8 for b in bitmaps)))
+    def __init__(
+        self, sizes: np.ndarray, room: np.ndarray, bitmaps: list[bytes], classes: np.ndarray,
+    ) -> None:
+        """``room``: most shingles a member can share beyond those before the group's own."""
+        words = int(np.median([len(b) // 8 for b in bitmaps]))
+        words = 1 << (words - 1).bit_length()
+        self.step = max(64, _FRONTIER_WORDS // words)
         bits = np.stack([_folded(b, words) for b in bitmaps])
         ones = np.array([int(np.bitwise_count(np.frombuffer(b, np.uint64)).sum()) for b in bitmaps])
         narrow = np.bitwise_count(bits).sum(1, dtype=np.int64)
@@ -74,13 +81,14 @@ class SignatureTree:
         slack = sizes - np.minimum(narrow, ones)
         self.order = np.lexsort((bits[:, 0], classes, sizes))
         o = self.order
-        self.levels = [(bits[o], sizes[o], sizes[o], slack[o], classes[o], classes[o])]
+        self.levels = [(bits[o], sizes[o], sizes[o], room[o], slack[o], classes[o], classes[o])]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, slack, first, last = self.levels[-1]
+            bits, low, high, room, slack, first, last = self.levels[-1]
             cuts = np.arange(0, len(bits), _NODE)
             self.levels.append((
                 np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(low, cuts),
-                np.maximum.reduceat(high, cuts), np.maximum.reduceat(slack, cuts),
+                np.maximum.reduceat(high, cuts), np.maximum.reduceat(room, cuts),
+                np.maximum.reduceat(slack, cuts),
                 np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -89,13 +97,13 @@ class SignatureTree:
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
-            if len(a) > _FRONTIER:
-                for at in range(0, len(a), _FRONTIER):
-                    stack.append((level, a[at:at + _FRONTIER], b[at:at + _FRONTIER]))
+            if len(a) > self.step:
+                for at in range(0, len(a), self.step):
+                    stack.append((level, a[at:at + self.step], b[at:at + self.step]))
                 continue
-            bits, low, high, slack, first, last = self.levels[level]
+            bits, low, high, room, slack, first, last = self.levels[level]
             most = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)
-            most = np.minimum(most + np.minimum(slack[a], slack[b]), np.minimum(high[a], high[b]))
+            most = np.minimum(most + np.minimum(slack[a], slack[b]), np.minimum(room[a], room[b]))
             one = (first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b])
             keep = (most >= _needed(low[a], low[b])) & ~one
             keep &= (100 * high[a] >= PERCENT * low[b]) & (100 * high[b] >= PERCENT * low[a])
@@ -123,6 +131,15 @@ def _sketch(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _ordered(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The set as positive numbers in the global order: hot shingles behind all others."""
+    numbers = shingles >> np.uint64(2)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        numbers = numbers | ((hot[at] == shingles).astype(np.uint64) << np.uint64(62))
+    return np.sort(numbers)
+
+
 def _shingled(batches: Iterator[pa.RecordBatch]):
     """Per slice: the batch, its number of texts, and their shingle sets."""
     for piece, texts in slices(batches, 1):
@@ -177,10 +194,7 @@ def _sketches(documents: DataFrame, whole: bool, hot: np.ndarray | None = None)
                     if not len(s):
                         prefixes.append(b"")
                         continue
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                        s = np.concatenate([s[hot[at] != s], s[hot[at] == s]])
-                    prefixes.append(s[:_prefix_length(len(s))].tobytes())
+                    prefixes.append(_ordered(s, hot)[:_prefix_length(len(s))].tobytes())
                 columns += [pa.array(prefixes, pa.binary()),
                             pa.array([_bitmap(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -191,33 +205,67 @@ def _sketches(documents: DataFrame, whole: bool, hot: np.ndarray | None = None)
 
 # --- groups, pairs, links ---------------------------------------------------------
 def _entries(representatives: DataFrame, key: str) -> DataFrame:
+    """shingle, id, n, room: one row per shingle of a prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = batch.column(1).to_pylist()
+            prefixes = batch.column(2).to_pylist()
             lengths = np.array([len(p) // 8 for p in prefixes], np.int64)
             shingles = np.frombuffer(b"".join(prefixes), np.int64)
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            n = batch.column(1).to_numpy()[row]
+            ids = batch.column(0).take(pa.array(row))
             for at in range(0, len(shingles), 100_000):
+                part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingles[at:at + 100_000]), ids.slice(at, 100_000)],
-                    names=["shingle", "id"])
+                    [pa.array(shingles[part]), ids.slice(at, 100_000),
+                     pa.array(n[part].astype(np.int32)), pa.array((n - place)[part].astype(np.int32))],
+                    names=["shingle", "id", "n", "room"])
+
+    return representatives.select("id", "n", "prefix").mapInArrow(
+        run, f"shingle long, id {key}, n int, room int")
+
 
-    return representatives.select("id", "prefix").mapInArrow(run, f"shingle long, id {key}")
+def _with_partner(n: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Which members of a group have another one that sizes and room leave possible."""
+    out = np.zeros(len(n), bool)
+    for at in range(0, len(n), 256):
+        part = slice(at, at + 256)
+        a, b = n[part, None], n[None, :]
+        fits = np.minimum(room[part, None], room[None, :]) >= _needed(a, b)
+        fits[np.arange(fits.shape[0]), np.arange(at, at + fits.shape[0])] = False
+        out[part] = fits.any(1)
+    return out
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in sorted_groups(batches, 1):
+        if group.num_rows <= FILTERED_MEMBERS:
+            n, room = (group[c].to_numpy().astype(np.int64) for c in ("n", "room"))
+            group = group.filter(pa.array(_with_partner(n, room)))
+        count = pa.array(np.full(group.num_rows, group.num_rows))
+        yield from group.append_column("members", count).to_batches()
 
 
 def _members(documents: DataFrame, key: str) -> DataFrame:
-    """shingle, id, n, bitmap, members: the groups to search, each set of members once."""
+    """shingle, id, n, room, members, bitmap: the groups to search.
+
+    Of groups with the same members only that of the first shingle is kept: where it is
+    not the first shingle that two members share, another group has both of them.
+    """
     named = _sketches(documents, True, _hot_shingles(documents)).filter("n > 0")
     representatives = named.groupBy("name1", "name2").agg(
         F.min("documentId").alias("id"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     entries = _entries(representatives, key)
     groups = entries.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("who"),
-        F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("also")).filter("members > 1")
-    chosen = groups.groupBy("who", "also", "members").agg(F.min("shingle").alias("shingle"))
-    return entries.join(chosen.select("shingle", "members"), "shingle").join(
-        representatives.select("id", "n", "bitmap"), "id")
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"),
+        F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("also")).filter("size > 1")
+    chosen = groups.groupBy("who", "also", "size").agg(F.min("shingle").alias("shingle"))
+    light = entries.join(chosen.select("shingle"), "shingle", "left_semi").repartition(
+        "shingle").sortWithinPartitions("shingle").mapInArrow(
+        _partnered, f"shingle long, id {key}, n int, room int, members long")
+    return light.join(representatives.select("id", "bitmap"), "id")
 
 
 def _candidates(members: DataFrame, key: str, spanning: bool) -> DataFrame:
@@ -235,7 +283,7 @@ def _candidates(members: DataFrame, key: str, spanning: bool) -> DataFrame:
         other = F.sequence(F.lit(0), F.col("blocks") - 1)
         rows = rows.withColumn("pair", F.explode(F.transform(other, lambda j: (
             F.least(j, F.col("block")).cast("long") * F.col("blocks") + F.greatest(j, F.col("block"))))))
-    rows = rows.select("shingle", "pair", "id", "n", "bitmap", "class")
+    rows = rows.select("shingle", "pair", "id", "n", "room", "bitmap", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 2):
@@ -244,8 +292,8 @@ def _candidates(members: DataFrame, key: str, spanning: bool) -> DataFrame:
             classes = group["class"].to_numpy()
             if (classes == classes[0]).all():
                 continue
-            sizes = group["n"].to_numpy()
-            tree = SignatureTree(sizes, group["bitmap"].to_pylist(), classes)
+            sizes, room = (group[c].to_numpy().astype(np.int64) for c in ("n", "room"))
+            tree = SignatureTree(sizes, room, group["bitmap"].to_pylist(), classes)
             best: dict[int, tuple[float, int]] = {}
             left, right = [], []
             for a, b, most in tree.pairs():
