@@ -28,6 +28,8 @@ from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
 PERCENT = 75
 HOT_SHARE = 0.005           # shingles of a larger share of a partition's documents come last
 BLOCK_MEMBERS = 1000        # larger groups are searched in pairs of blocks of this size
+CELLS = (1 << 31) - 1
+FILTER_BITS = 1 << 26       # of the filter for repeated shingles: eight mebibytes
 FILTERED_MEMBERS = 4000     # members of larger groups all go on to the tree
 MAX_BITS = 1 << 16          # of a bitmap; longer sets only get a weaker bound
 _NODE = 8                   # children of a tree node
@@ -254,10 +256,15 @@ def _members(documents: DataFrame, key: str) -> DataFrame:
     not the first shingle that two members share, another group has both of them.
     """
     named = _sketches(documents, True, _hot_shingles(documents)).filter("n > 0")
-    representatives = named.groupBy("name1", "name2").agg(
+    representatives = checkpointed(named.groupBy("name1", "name2").agg(
         F.min("documentId").alias("id"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    entries = _entries(representatives, key)
+        F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
+    # Most shingles are met once. Counts of narrow cells find those that may be met more
+    # often, so that the entries of the others are not shuffled.
+    entries = _entries(representatives, key).withColumn(
+        "cell", F.pmod("shingle", F.lit(CELLS)).cast("int"))
+    often = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = IdFilter(often.select("cell"), FILTER_BITS).keep(entries, "cell").drop("cell")
     groups = entries.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"),
         F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("also")).filter("size > 1")
