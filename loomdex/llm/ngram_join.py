@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomdex.llm.partitions import IdFilter, checkpointed, components, sorted_groups
 from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
@@ -48,7 +49,7 @@ def _prefix_length(n: int) -> int:
 # --- signatures -----------------------------------------------------------------
 def _bitmap(shingles: np.ndarray) -> bytes:
     width = 64
-    while width < min(8 * len(shingles), MAX_BITS):
+    while width < min(4 * len(shingles), MAX_BITS):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
@@ -150,59 +151,63 @@ def _shingled(batches: Iterator[pa.RecordBatch]):
         yield piece, [words.shingles(i, windows) for i in range(len(texts))]
 
 
-def _hot_shingles(documents: DataFrame) -> np.ndarray:
-    """Shingles of many documents; at most (mean set size / HOT_SHARE) values.
+def _names_and_hot(documents: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
+    """documentId, n, name1, name2 of every document; and the shingles of many documents.
 
-    They are found per partition and summed. The choice only decides how fast the groups
-    are searched: any order of the shingles gives the same links.
+    Those are found per partition and summed; there are (mean set size / HOT_SHARE) at
+    most. They only decide how fast the groups are searched: any order of the shingles
+    gives the same links.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
         rows = 0
-        for _, sets in _shingled(batches):
+        for piece, sets in _shingled(batches):
             rows += len(sets)
             values, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             often = n >= max(3, HOT_SHARE * len(sets))
             for v, c in zip(values[often].tolist(), n[often].tolist()):
                 counts[v] = counts.get(v, 0) + c
+            sketches = [_sketch(s) for s in sets]
+            yield made(piece.column(0), [len(s) for s in sets], *zip(*sketches), False)
         found = [(v, c) for v, c in counts.items() if c >= max(4, HOT_SHARE * rows)]
-        made = np.array([v for v, _ in found], np.uint64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(made), pa.array([c for _, c in found], pa.int64()),
-             pa.array([rows] * len(found), pa.int64())], names=["shingle", "n", "rows"])
-
-    found = documents.mapInArrow(run, "shingle long, n long, rows long").groupBy("shingle").agg(
-        F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    hot = found.filter(F.col("n") >= F.lit(HOT_SHARE) * F.col("rows")).select("shingle").toArrow()
-    return np.sort(hot["shingle"].to_numpy().astype(np.uint64))
-
-
-def _sketches(documents: DataFrame, whole: bool, hot: np.ndarray | None = None) -> DataFrame:
-    """documentId, n, name1, name2; with ``whole`` also prefix and bitmap."""
-    key = documents.schema["documentId"].dataType.simpleString()
+        shingles = np.array([v for v, _ in found], np.uint64).astype(np.int64).tolist()
+        none = pa.nulls(len(found), kind)
+        yield made(none, [c for _, c in found], shingles, [rows] * len(found), True)
+
+    def made(ids, n, first, second, hot) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [ids, *[pa.array(c, pa.int64()) for c in (n, first, second)],
+             pa.array([hot] * len(ids))], names=["documentId", "n", "name1", "name2", "hot"])
+
+    kind = to_arrow_type(documents.schema["documentId"].dataType)
+    every = checkpointed(documents.mapInArrow(
+        run, f"documentId {key}, n long, name1 long, name2 long, hot boolean"))
+    hot = every.filter("hot").groupBy("name1").agg(
+        F.sum("n").alias("n"), F.sum("name2").alias("rows")).filter(
+        F.col("n") >= F.lit(HOT_SHARE) * F.col("rows")).select("name1").toArrow()
+    return every.filter("not hot").drop("hot"), np.sort(hot["name1"].to_numpy().astype(np.uint64))
+
+
+def _sketches(documents: DataFrame, key: str, hot: np.ndarray) -> DataFrame:
+    """documentId, n, name1, name2, prefix and bitmap of the documents with shingles."""
     shared = documents.sparkSession.sparkContext.broadcast(hot)
-    extra = ", prefix binary, bitmap binary" if whole else ""
-    names = ["documentId", "n", "name1", "name2", *(["prefix", "bitmap"] if whole else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for piece, sets in _shingled(batches):
+            there = [i for i, s in enumerate(sets) if len(s)]
+            sets = [sets[i] for i in there]
             sketches = [_sketch(s) for s in sets]
-            columns = [piece.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                       *[pa.array([k[i] for k in sketches], pa.int64()) for i in (0, 1)]]
-            if whole:
-                prefixes = []
-                for s in sets:
-                    if not len(s):
-                        prefixes.append(b"")
-                        continue
-                    prefixes.append(_ordered(s, hot)[:_prefix_length(len(s))].tobytes())
-                columns += [pa.array(prefixes, pa.binary()),
-                            pa.array([_bitmap(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            prefixes = [_ordered(s, hot)[:_prefix_length(len(s))].tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(pa.array(there, pa.int64())),
+                 pa.array([len(s) for s in sets], pa.int64()),
+                 *[pa.array([k[i] for k in sketches], pa.int64()) for i in (0, 1)],
+                 pa.array(prefixes, pa.binary()), pa.array([_bitmap(s) for s in sets], pa.binary())],
+                names=["documentId", "n", "name1", "name2", "prefix", "bitmap"])
 
     return documents.mapInArrow(
-        run, f"documentId {key}, n long, name1 long, name2 long{extra}")
+        run, f"documentId {key}, n long, name1 long, name2 long, prefix binary, bitmap binary")
 
 
 # --- groups, pairs, links ---------------------------------------------------------
@@ -249,14 +254,13 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from group.append_column("members", count).to_batches()
 
 
-def _members(documents: DataFrame, key: str) -> DataFrame:
-    """shingle, id, n, room, members, bitmap: the groups to search.
+def _groups(documents: DataFrame, key: str, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """shingle, id, n, room, members: the groups to search; and id, bitmap.
 
     Of groups with the same members only that of the first shingle is kept: where it is
     not the first shingle that two members share, another group has both of them.
     """
-    named = _sketches(documents, True, _hot_shingles(documents)).filter("n > 0")
-    representatives = checkpointed(named.groupBy("name1", "name2").agg(
+    representatives = checkpointed(_sketches(documents, key, hot).groupBy("name1", "name2").agg(
         F.min("documentId").alias("id"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
     # Most shingles are met once. Counts of narrow cells find those that may be met more
@@ -272,17 +276,17 @@ def _members(documents: DataFrame, key: str) -> DataFrame:
     light = entries.join(chosen.select("shingle"), "shingle", "left_semi").repartition(
         "shingle").sortWithinPartitions("shingle").mapInArrow(
         _partnered, f"shingle long, id {key}, n int, room int, members long")
-    return light.join(representatives.select("id", "bitmap"), "id")
+    return checkpointed(light), representatives.select("id", "bitmap")
 
 
-def _candidates(members: DataFrame, key: str, spanning: bool) -> DataFrame:
+def _candidates(members: DataFrame, bitmaps: DataFrame, key: str, spanning: bool) -> DataFrame:
     """Pairs (a, b) of ids whose bitmaps leave room for a link; ``class`` differs.
 
     ``spanning``: the best partner of each member only. Large groups are cut into blocks;
     a spanning search looks within blocks, a full one at all pairs of blocks.
     """
     blocks = F.ceil(F.col("members") / F.lit(BLOCK_MEMBERS)).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn(
+    rows = members.join(bitmaps, "id").withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     if spanning:
         rows = rows.withColumn("pair", F.col("block").cast("long"))
@@ -325,19 +329,29 @@ def _candidates(members: DataFrame, key: str, spanning: bool) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(documents: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """The pairs whose exact sets are similar enough."""
+def _room_left(left: np.ndarray, right: np.ndarray) -> int:
+    """Shared values, where a value met several times counts as often."""
+    a, b = (np.sort(v).astype(np.int64) for v in (left, right))
+    a, b = (v + ((np.arange(len(v)) - np.searchsorted(v, v)) << 16) for v in (a, b))
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def _verified(documents: DataFrame, pairs: DataFrame, key: str, exact: bool) -> DataFrame:
+    """The pairs whose sets are similar enough; by 16 bits of each shingle, or exactly.
+
+    Sixteen bits can only make sets more similar, and are a quarter of what is shuffled.
+    """
     pairs = checkpointed(pairs)
+    kind = np.uint64 if exact else np.uint16
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, found in _shingled(batches):
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array([s.tobytes() for s in found], pa.binary())],
+                [piece.column(0), pa.array([s.astype(kind).tobytes() for s in found], pa.binary())],
                 names=["id", "set"])
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = IdFilter(met).keep(documents, "documentId")
-    known = texts.mapInArrow(sets, f"id {key}, set binary")
+    met = IdFilter(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    known = met.keep(documents, "documentId").mapInArrow(sets, f"id {key}, set binary")
     rows = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(
         known.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
 
@@ -345,14 +359,18 @@ def _links(documents: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if exact else _room_left(x, y)
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return rows.select("a", "b", "left", "right").mapInArrow(run, f"a {key}, b {key}")
 
 
+def _links(documents: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    return _verified(documents, _verified(documents, pairs, key, False), key, True)
+
+
 def linked(documents: DataFrame) -> DataFrame:
     """documentId, nShingles and componentId of every document.
 
@@ -365,18 +383,18 @@ def linked(documents: DataFrame) -> DataFrame:
     """
     documents = documents.select("documentId", "text")
     key = documents.schema["documentId"].dataType.simpleString()
-    members = checkpointed(_members(documents, key))
+    named, hot = _names_and_hot(documents, key)
+    members, bitmaps = _groups(documents, key, hot)
     alone = members.withColumn("class", F.xxhash64("id"))
-    first = checkpointed(_links(documents, _candidates(alone, key, True), key))
+    first = checkpointed(_links(documents, _candidates(alone, bitmaps, key, True), key))
     classes = components(first)
     classed = members.join(classes, "id", "left").withColumn(
         "class", F.xxhash64(F.coalesce("component", "id"))).drop("component")
     mixed_groups = classed.groupBy("shingle").agg(
         F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
     classed = classed.join(mixed_groups.select("shingle"), "shingle", "left_semi")
-    second = _links(documents, _candidates(classed, key, False), key)
+    second = _links(documents, _candidates(classed, bitmaps, key, False), key)
     final = components(first.union(second))
-    named = _sketches(documents, False)
     holders = named.filter("n > 0").groupBy("name1", "name2").agg(F.min("documentId").alias("id"))
     holders = holders.join(final, "id", "left").select(
         F.col("name1").alias("_1"), F.col("name2").alias("_2"),
