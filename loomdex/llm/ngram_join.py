@@ -27,7 +27,8 @@ from loomdex.llm.partitions import IdFilter, checkpointed, components, sorted_gr
 from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
 
 PERCENT = 75
-HOT_SHARE = 0.005           # shingles of a larger share of a partition's documents come last
+HOT_SHARE = 0.0004          # shingles of a larger share of the documents come last
+COUNTED_SHINGLES = 4_000_000    # that a task counts together, some 7,000 documents
 BLOCK_MEMBERS = 1000        # larger groups are searched in pairs of blocks of this size
 CELLS = (1 << 31) - 1
 FILTER_BITS = 1 << 26       # of the filter for repeated shingles: eight mebibytes
@@ -154,25 +155,29 @@ def _shingled(batches: Iterator[pa.RecordBatch]):
 def _names_and_hot(documents: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
     """documentId, n, name1, name2 of every document; and the shingles of many documents.
 
-    Those are found per partition and summed; there are (mean set size / HOT_SHARE) at
+    Those are found in parts of the table and summed; there are (mean set size / HOT_SHARE) at
     most. They only decide how fast the groups are searched: any order of the shingles
     gives the same links.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
-        rows = 0
+        held: list[np.ndarray] = []
+        rows = size = 0
         for piece, sets in _shingled(batches):
+            held += sets
             rows += len(sets)
-            values, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            often = n >= max(3, HOT_SHARE * len(sets))
-            for v, c in zip(values[often].tolist(), n[often].tolist()):
-                counts[v] = counts.get(v, 0) + c
+            size += sum(map(len, sets))
             sketches = [_sketch(s) for s in sets]
             yield made(piece.column(0), [len(s) for s in sets], *zip(*sketches), False)
-        found = [(v, c) for v, c in counts.items() if c >= max(4, HOT_SHARE * rows)]
-        shingles = np.array([v for v, _ in found], np.uint64).astype(np.int64).tolist()
-        none = pa.nulls(len(found), kind)
-        yield made(none, [c for _, c in found], shingles, [rows] * len(found), True)
+            if size >= COUNTED_SHINGLES:
+                yield often(held, rows)
+                held, rows, size = [], 0, 0
+        yield often(held, rows)
+
+    def often(held: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        many = n >= max(3, HOT_SHARE * rows)
+        shingles = values[many].astype(np.int64)
+        return made(pa.nulls(len(shingles), kind), n[many], shingles, [rows] * len(shingles), True)
 
     def made(ids, n, first, second, hot) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
