@@ -23,8 +23,8 @@ from loomdex.llm.suffix_automaton import EntryAutomaton
 from loomdex.llm.word_arrays import slices, worker_cached
 
 MAX_VOCABULARY_BYTES = 64 << 20     # larger files are refused: the vocabulary is broadcast
-CACHED_PIECES = 500_000             # remembered by a worker before it starts afresh
-CACHED_PAIRS = 500_000
+CACHED_PIECES = 300_000             # remembered by a worker before it starts afresh
+CACHED_PAIRS = 300_000
 _PAIR = 1 << 20                     # a pair of ids as one number
 _FINAL = 0x10000                    # added to a character that ends a word
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -36,25 +36,17 @@ class Codec:
 
     def __init__(self, definition: str) -> None:
         import regex
-        from tokenizers import Tokenizer
 
         spec = json.loads(definition)
         model = spec["model"]
         end = model["end_of_word_suffix"]
         vocabulary: dict[str, int] = model["vocab"]
-        self.names = {i: token for token, i in vocabulary.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: token for token, i in self.special.items()}
         self.pieces = regex.compile(
             spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V0)
         self.splitter = re.compile(
             "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        # Unicode's tables differ between versions; those of the published library decide
-        # how text beyond ASCII is normalised and cut into pieces. Its encoder is not used.
-        library = Tokenizer.from_str(definition)
-        self.normal, self.splits = (
-            library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str)
-
+        self.definition, self.library = definition, None
         #: Bytes outside the printable ones are shown as characters from U+0100 on.
         hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
         self.shown = {b: 0x100 + i for i, b in enumerate(hidden)}
@@ -159,6 +151,19 @@ class Codec:
             ids += found
         return ids
 
+    def library_pieces(self, chunk: str) -> list[str]:
+        """Pieces, in byte characters, of text beyond Latin letters.
+
+        Unicode's tables differ between versions; those of the published library decide how
+        such text is normalised and cut. Its encoder is not used.
+        """
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.definition)
+        normal = self.library.normalizer.normalize_str(chunk)
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def encode(self, text: str) -> np.ndarray:
         ids: list[int] = []
         for part in self.splitter.split(text) if "<|" in text else (text,):
@@ -171,18 +176,22 @@ class Codec:
                     if _BEYOND_LATIN.search(chunk) is None:
                         ids += self.latin_ids(chunk)
                         continue
-                    for piece, _ in self.splits(self.normal(chunk)):
+                    for piece in self.library_pieces(chunk):
                         ids += self.piece(piece, shown=True)
         return np.array(ids, "<u4")
 
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join([self.names[i] for i in ids.tolist()])
+
+def token_names(definition: str) -> list[str]:
+    """The names of all tokens by id."""
+    spec = json.loads(definition)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return sorted(ids, key=ids.__getitem__)
 
 
-def _codec(shared) -> Codec:
+def _made(shared, make):
     definition = shared.value
-    key = "bpe", hashlib.sha256(definition.encode()).hexdigest()
-    return worker_cached(key, lambda: Codec(definition))
+    key = make.__name__, hashlib.sha256(definition.encode()).hexdigest()
+    return worker_cached(key, lambda: make(definition))
 
 
 def _shared(documents: DataFrame, vocabulary: str):
@@ -209,7 +218,7 @@ def encode(documents: DataFrame, vocabulary: str) -> DataFrame:
                         T.StructField("tokenIds", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _made(shared, Codec)
         for piece, texts in slices(batches, 1):
             ids = [codec.encode(t or "") for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -231,12 +240,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     out = T.StructType([*rows.schema.fields, T.StructField("decodedText", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        names = _made(shared, token_names)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                texts = [codec.decode(np.frombuffer(i or b"", "<u4"))
-                         for i in piece.column(2).to_pylist()]
+                texts = [" ".join([names[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
+                         for ids in piece.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, pa.array(texts, pa.string())],
                     names=["documentId", "nTokens", "tokenIds", "decodedText"])
