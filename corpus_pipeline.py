@@ -53,7 +53,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every text, and a digest of the decoded text."""
-    return bpe.decode(bpe.encode(_records(docs), VOCABULARY), VOCABULARY).select(
+    return bpe.encode(_records(docs), VOCABULARY, decoded=True).select(
         F.col("documentId").alias("doc_id"), F.col("nTokens").alias("n_tokens"),
         F.col("tokenIds").alias("token_ids"),
         F.sha2(F.col("decodedText").cast("binary"), 256).alias("decoded_sha256"))

@@ -9,7 +9,6 @@ the end give the ids. No merge loop runs over a text.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -20,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomdex.llm.suffix_automaton import EntryAutomaton
-from loomdex.llm.word_arrays import slices, worker_cached
+from loomdex.llm.word_arrays import slices
 
 MAX_VOCABULARY_BYTES = 64 << 20     # larger files are refused: the vocabulary is broadcast
-CACHED_PIECES = 300_000             # remembered by a worker before it starts afresh
-CACHED_PAIRS = 300_000
+CACHED_PIECES = 150_000             # remembered by a task before it starts afresh
+CACHED_PAIRS = 150_000
 _PAIR = 1 << 20                     # a pair of ids as one number
 _FINAL = 0x10000                    # added to a character that ends a word
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -188,10 +187,8 @@ def token_names(definition: str) -> list[str]:
     return sorted(ids, key=ids.__getitem__)
 
 
-def _made(shared, make):
-    definition = shared.value
-    key = make.__name__, hashlib.sha256(definition.encode()).hexdigest()
-    return worker_cached(key, lambda: make(definition))
+def _decoded(ids: np.ndarray, names: list[str]) -> str:
+    return " ".join([names[i] for i in ids.tolist()])
 
 
 def _shared(documents: DataFrame, vocabulary: str):
@@ -202,29 +199,34 @@ def _shared(documents: DataFrame, vocabulary: str):
     return documents.sparkSession.sparkContext.broadcast(definition)
 
 
-def encode(documents: DataFrame, vocabulary: str) -> DataFrame:
+def encode(documents: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
     """Token ids of every document's whole text.
 
     ``documents``: document records (``documentId`` of any type, ``text``); other columns
     are ignored. ``vocabulary``: path of a tokenizer definition that the driver can read.
     Returns documentId, nTokens (long) and tokenIds (binary: little-endian unsigned 32-bit
     ids). Null and empty texts have no tokens; special tokens in a text keep their ids, none
-    is added. Rows map to rows: repeated ids and texts stay.
+    is added. Rows map to rows: repeated ids and texts stay. With ``decoded``, decodedText
+    as ``decode`` makes it is returned too, in the same pass.
     """
     shared = _shared(documents, vocabulary)
     rows = documents.select("documentId", "text")
     out = T.StructType([T.StructField("documentId", rows.schema["documentId"].dataType),
                         T.StructField("nTokens", T.LongType()),
-                        T.StructField("tokenIds", T.BinaryType())])
+                        T.StructField("tokenIds", T.BinaryType()),
+                        *[T.StructField("decodedText", T.StringType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _made(shared, Codec)
+        # Tables of the vocabulary live as long as the task: workers are many, and wait long.
+        codec = Codec(shared.value)
+        names = token_names(shared.value)
         for piece, texts in slices(batches, 1):
             ids = [codec.encode(t or "") for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array([len(i) for i in ids], pa.int64()),
-                 pa.array([i.tobytes() for i in ids], pa.binary())],
-                names=["documentId", "nTokens", "tokenIds"])
+            columns = [piece.column(0), pa.array([len(i) for i in ids], pa.int64()),
+                       pa.array([i.tobytes() for i in ids], pa.binary())]
+            if decoded:
+                columns.append(pa.array([_decoded(i, names) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return rows.mapInArrow(run, out)
 
@@ -240,14 +242,13 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     out = T.StructType([*rows.schema.fields, T.StructField("decodedText", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _made(shared, token_names)
+        names = token_names(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                texts = [" ".join([names[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
+                texts = [_decoded(np.frombuffer(ids or b"", "<u4"), names)
                          for ids in piece.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(texts, pa.string())],
-                    names=["documentId", "nTokens", "tokenIds", "decodedText"])
+                    [*piece.columns, pa.array(texts, pa.string())], names=out.names)
 
     return rows.mapInArrow(run, out)

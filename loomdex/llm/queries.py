@@ -45,8 +45,7 @@ def _held_out(number: str):
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(_documents(spark, folder), VOCABULARY)
-    return bpe.decode(encoded, VOCABULARY).select(
+    return bpe.encode(_documents(spark, folder), VOCABULARY, decoded=True).select(
         F.col("documentId").alias("doc_id"), F.col("nTokens").alias("n_tokens"),
         F.sha2("tokenIds", 256).alias("ids_sha256"),
         F.sha2(F.col("decodedText").cast("binary"), 256).alias("decoded_sha256"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 1 << 20       # texts are hashed in slices of about this many bytes
+SLICE_BYTES = 1 << 19       # texts are hashed in slices of about this many bytes
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 _LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -50,7 +50,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for n positions at least."""
     held = worker_cached("powers", dict)
     if held.get("n", 0) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (1 << 17))
         up = np.full(size, _BASE, np.uint64)
         down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
