@@ -28,7 +28,7 @@ from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
 
 PERCENT = 75
 HOT_SHARE = 0.0004          # shingles of a larger share of the documents come last
-COUNTED_SHINGLES = 4_000_000    # that a task counts together, some 7,000 documents
+COUNTED_SHINGLES = 1_500_000    # that a task counts together
 BLOCK_MEMBERS = 1000        # larger groups are searched in pairs of blocks of this size
 CELLS = (1 << 31) - 1
 FILTER_BITS = 1 << 26       # of the filter for repeated shingles: eight mebibytes
@@ -182,7 +182,7 @@ def _names_and_hot(documents: DataFrame, key: str) -> tuple[DataFrame, np.ndarra
     def made(ids, n, first, second, hot) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [ids, *[pa.array(c, pa.int64()) for c in (n, first, second)],
-             pa.array([hot] * len(ids))], names=["documentId", "n", "name1", "name2", "hot"])
+             pa.array([hot] * len(ids), pa.bool_())], names=["documentId", "n", "name1", "name2", "hot"])
 
     kind = to_arrow_type(documents.schema["documentId"].dataType)
     every = checkpointed(documents.mapInArrow(
@@ -220,19 +220,23 @@ def _entries(representatives: DataFrame, key: str) -> DataFrame:
     """shingle, id, n, room: one row per shingle of a prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = batch.column(2).to_pylist()
-            lengths = np.array([len(p) // 8 for p in prefixes], np.int64)
-            shingles = np.frombuffer(b"".join(prefixes), np.int64)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            n = batch.column(1).to_numpy()[row]
-            ids = batch.column(0).take(pa.array(row))
-            for at in range(0, len(shingles), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingles[part]), ids.slice(at, 100_000),
-                     pa.array(n[part].astype(np.int32)), pa.array((n - place)[part].astype(np.int32))],
-                    names=["shingle", "id", "n", "room"])
+            for at in range(0, batch.num_rows, 500):
+                yield from entries(batch.slice(at, 500))
+
+    def entries(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        prefixes = batch.column(2).to_pylist()
+        lengths = np.array([len(p) // 8 for p in prefixes], np.int64)
+        shingles = np.frombuffer(b"".join(prefixes), np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        n = batch.column(1).to_numpy()[row]
+        ids = batch.column(0).take(pa.array(row))
+        for at in range(0, len(shingles), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingles[part]), ids.slice(at, 100_000),
+                 pa.array(n[part].astype(np.int32)), pa.array((n - place)[part].astype(np.int32))],
+                names=["shingle", "id", "n", "room"])
 
     return representatives.select("id", "n", "prefix").mapInArrow(
         run, f"shingle long, id {key}, n int, room int")

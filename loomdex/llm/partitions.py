@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,10 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
         table = pa.Table.from_batches([batch])
         change = np.zeros(batch.num_rows, bool)
         for k in range(keys):
-            column = batch.column(k).to_numpy(zero_copy_only=False)
-            change[1:] |= column[1:] != column[:-1]
+            here, before = batch.column(k).slice(1), batch.column(k).slice(0, batch.num_rows - 1)
+            same = pc.or_(pc.fill_null(pc.equal(here, before), False),
+                          pc.and_(pc.is_null(here), pc.is_null(before)))
+            change[1:] |= ~same.to_numpy(zero_copy_only=False)
         first = [table.column(k)[0].as_py() for k in range(keys)]
         if held and [held[0].column(k)[0].as_py() for k in range(keys)] != first:
             yield pa.concat_tables(held)

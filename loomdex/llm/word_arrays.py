@@ -13,6 +13,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 SLICE_BYTES = 1 << 19       # texts are hashed in slices of about this many bytes
@@ -122,10 +123,11 @@ class Words:
 def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Pieces of the batches with about SLICE_BYTES of text each, and their texts."""
     for batch in batches:
-        texts = batch.column(text).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().tolist()
         start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= SLICE_BYTES or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= SLICE_BYTES or i + 1 == len(sizes):
+                piece = batch.slice(start, i + 1 - start)
+                yield piece, piece.column(text).to_pylist()
                 start, size = i + 1, 0
