@@ -58,11 +58,8 @@ def _fingerprints(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "fingerprint long, n long")
 
 
-def _repeated_passages(documents: DataFrame, key: str) -> DataFrame:
-    """fingerprint, documentId, start, windows and passage where the fingerprint recurs."""
-    often = _fingerprints(documents).groupBy("fingerprint").agg(F.sum("n").alias("n")).filter("n > 1")
-    names = ["fingerprint", "documentId", "start", "windows", "row"]
-
+def _every_passage(documents: DataFrame, key: str, text: bool) -> DataFrame:
+    """fingerprint, documentId, start, windows; and the content's hash, or its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches, 1):
             words = Words(texts)
@@ -71,16 +68,18 @@ def _repeated_passages(documents: DataFrame, key: str) -> DataFrame:
             prints, starts, counts = (np.concatenate([f[i] for f in found]) for i in range(3))
             row = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             first = words.first[row] + starts
-            place = np.stack([words.starts[first], words.ends[first + counts + WINDOW_WORDS - 2]])
-            text = pa.array([words.bytes[a:b].decode() for a, b in place.T.tolist()], pa.string())
+            if text:
+                place = np.stack([words.starts[first], words.ends[first + counts + WINDOW_WORDS - 2]])
+                content = pa.array([words.bytes[a:b].decode() for a, b in place.T.tolist()], pa.string())
+            else:
+                content = pa.array(words.ranges(first, first + counts + WINDOW_WORDS - 1).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(prints.astype(np.int64)), piece.column(0).take(pa.array(row)),
-                 pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), text],
-                names=[*names[:4], "passage"])
+                 pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), content],
+                names=["fingerprint", "documentId", "start", "windows", "content"])
 
-    every = documents.mapInArrow(
-        run, f"fingerprint long, documentId {key}, start int, windows int, passage string")
-    return IdFilter(often.select("fingerprint"), FILTER_BITS).keep(every, "fingerprint")
+    return documents.mapInArrow(run, f"fingerprint long, documentId {key}, start int, windows int, "
+                                     f"content {'string' if text else 'long'}")
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,22 +130,28 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     """
     documents = documents.select("documentId", "text")
     key = documents.schema["documentId"].dataType.simpleString()
-    passages = checkpointed(_repeated_passages(documents, key).withColumn(
-        "content", F.sha2(F.regexp_replace("passage", "[ \\t\\n\\x0B\\f\\r]+", " "), 256)))
+    often = _fingerprints(documents).groupBy("fingerprint").agg(F.sum("n").alias("n")).filter("n > 1")
+    # Fingerprint and content are hashes of different words, so that both name the passage.
+    passages = checkpointed(IdFilter(often.select("fingerprint"), FILTER_BITS).keep(
+        _every_passage(documents, key, False), "fingerprint"))
     at = F.struct("documentId", "start")
     contents = passages.groupBy("fingerprint", "content").agg(
-        F.min(at).alias("first"), F.max(at).alias("last"), F.first("windows").alias("windows"),
-        F.first("passage").alias("passage"))
+        F.min(at).alias("first"), F.max(at).alias("last"))
     # Of equal passages only the first can hold a window that is not a copy.
     copies = (
-        passages.select("fingerprint", "content", "documentId", "start", "windows")
-        .join(contents.filter(~F.col("first").eqNullSafe(F.col("last")))
-              .select("fingerprint", "content", "first"), ["fingerprint", "content"])
+        passages.join(contents.filter(~F.col("first").eqNullSafe(F.col("last")))
+                      .select("fingerprint", "content", "first"), ["fingerprint", "content"])
         .filter(~F.col("first").eqNullSafe(at)).select("documentId", "start", "windows"))
     several = contents.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("different")).filter(
         "different > 1")
-    firsts = contents.join(several, "fingerprint").select(
-        "fingerprint", "first.documentId", "first.start", "passage", "different")
+    heads = checkpointed(contents.join(several, "fingerprint").select(
+        F.xxhash64("fingerprint", "first.documentId", "first.start").alias("head"),
+        "fingerprint", "first.documentId", "first.start", "different"))
+    texts = _every_passage(documents, key, True).withColumn(
+        "head", F.xxhash64("fingerprint", "documentId", "start")).drop("windows")
+    firsts = IdFilter(heads.select("head"), FILTER_BITS).keep(texts, "head").select(
+        "head", "fingerprint", F.col("content").alias("passage"), "documentId", "start",
+    ).join(heads.select("head", "different"), "head")
     streamed = (
         firsts.filter(F.col("different") <= SHARD_PASSAGES)
         .select("fingerprint", "documentId", "start", "passage")

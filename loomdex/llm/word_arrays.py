@@ -95,6 +95,13 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.bytes[self.starts[i]:self.ends[i]]
 
+    def ranges(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the word ranges first up to end (not included)."""
+        up, down = _powers(len(self.hashes) + 1)
+        sums = np.zeros(len(self.hashes) + 1, np.uint64)
+        np.cumsum(mixed(self.hashes + np.uint64(5)) * up[: len(self.hashes)], out=sums[1:])
+        return mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+
     def windows(self, size: int, seed: int = 0) -> np.ndarray:
         """Hash of the window that starts at each word; the last ones run past their row."""
         total = len(self.hashes)
