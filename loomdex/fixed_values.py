@@ -36,12 +36,13 @@ ROLE_WITH_TARGET = r":[a-zA-Z][a-zA-Z0-9_-]*:`([^`<>]+){ws}+<[^`>]+>`"
 ROLE = r":[a-zA-Z][a-zA-Z0-9_-]*:`([^`]+)`"
 INLINE_CODE = r"``([^`]+)``"
 PIPE_SUBSTITUTION = r"\|[a-zA-Z][a-zA-Z0-9_-]*\|"
-BRACE_SUBSTITUTION = r"\{\+[a-zA-Z](?:[a-zA-Z0-9_+-]|{ws})*\+\}"
+# The white-space class is nested in the class of letters: a repeated group would recurse.
+BRACE_SUBSTITUTION = r"\{\+[a-zA-Z][a-zA-Z0-9_+\-{ws}]*\+\}"
 ANY_BLOCK_DIRECTIVE = r"(?m)^\.\.{ws}+[a-zA-Z][a-zA-Z0-9_-]*::[^\n]*\n" + BLOCK_BODY
 INDENTED_DIRECTIVE_LINE = r"(?m)^[ \t]+\.\.{ws}+[a-zA-Z][a-zA-Z0-9_-]*::[^\n]*\n"
 BULLET_INCLUDE = r"(?m)^[ \t]*[-*]{ws}+\.\.{ws}+include::[^\n]*\n"
 COMMENT_LINE = r"(?m)^[ \t]*\.\.{ws}+(?![_a-zA-Z][a-zA-Z0-9_-]*::)[^\n]*\n"
-DEEP_INDENT = r"(?m)^{ws_in_line}{3,}"
+DEEP_INDENT = r"(?md)^{ws_in_line}{3,}"
 BLANK_RUN = r"\n{3,}"
 # A title decoration line: one of these characters, three times or more.
 DECORATION = r"^([=\-~^.`'\"#*+_])\1{2,}{ws}*$"

@@ -44,7 +44,7 @@ def embed(rows: DataFrame, embedder: Embedder, *, id_col: str = "chunkId", text:
             return _vectors_of(texts, embedder), [None] * len(texts)
         except Exception as failure:  # noqa: BLE001 - any embedder failure is a dead letter
             if len(texts) == 1:
-                return [None], [str(failure)[: fv.ERROR_MESSAGE_CHARS]]
+                return [None], [str(failure)]
         parts = [one_call([t]) for t in texts]
         return [p[0][0] for p in parts], [p[1][0] for p in parts]
 

@@ -21,7 +21,7 @@ def select_experiment(config: DataFrame, experiment: str) -> DataFrame:
     """The configuration row of one experiment; an unknown id is an error."""
     chosen = config.filter(F.col("id") == experiment)
     if chosen.limit(1).count() == 0:
-        known = [r["id"] for r in config.select("id").orderBy("id").limit(20).collect()]
+        known = [r["id"] for r in config.select("id").orderBy("id").collect()]
         raise ValueError(f"unknown experiment {experiment!r}, there are {known}")
     return chosen
 

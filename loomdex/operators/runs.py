@@ -9,10 +9,8 @@ from loomdex import fixed_values as fv
 
 
 def error_code(message: Column) -> Column:
-    """The numeric code inside an error message, or null."""
-    return F.try_to_number(
-        F.nullif(F.regexp_extract(message, fv.ERROR_CODE, 1), F.lit("")), F.lit("999999999")
-    ).cast("int")
+    """The numeric code inside an error message, or null where there is none."""
+    return F.nullif(F.regexp_extract(message, fv.ERROR_CODE, 1), F.lit("")).try_cast("bigint")
 
 
 def short_message(message: Column) -> Column:
@@ -116,14 +114,16 @@ def evaluation_results(questions: DataFrame, records: DataFrame, failures: DataF
     """Result rows of a run in the shape of ``schemas.RESULTS``.
 
     ``records`` are answer records; ``failures`` has id, message, elapsedMs for
-    the questions whose run failed.
+    the questions whose run failed. A question has a row if it failed or was answered;
+    one that was not run yet has none, so that it stays on the work list.
     """
     meta = ["id", "category", "scope", "question", "groundTruth", "expectedSource",
             "expectedSourceUrl"]
     joined = questions.select(*meta).join(records.drop("question"), "id", "left").join(
-        failures.select("id", "message", "elapsedMs"), "id", "left"
+        failures.select("id", F.coalesce("message", F.lit("")).alias("message"), "elapsedMs"), "id", "left"
     )
     failed = F.col("message").isNotNull()
+    joined = joined.filter(failed | F.col("answer").isNotNull())
 
     def unless_failed(column: str) -> Column:
         return F.when(~failed, F.col(column))

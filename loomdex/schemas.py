@@ -35,7 +35,7 @@ RETRIEVED_SOURCE = _table(
     ("chunkId", _S), ("documentId", _S), ("title", _S), ("sourceUrl", _S), ("score", _D),
 )
 CITATION = _table(("title", _S), ("sourceUrl", _S), ("documentId", _S), ("score", _D))
-RUN_ERROR = _table(("code", _I), ("message", _S))
+RUN_ERROR = _table(("code", _L), ("message", _S))
 RESULTS = T.StructType(
     QUESTIONS.fields
     + _table(

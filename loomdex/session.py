@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +28,15 @@ def local_session(cores: int | str = 8, app_name: str = "loomdex") -> SparkSessi
 def checkpointed(rows: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several jobs read, so it is computed once.
 
-    The files go to the shared folder the cluster names in ``spark.checkpoint.dir``;
-    a local folder is set only where there is none, as in tests.
+    The files go to the shared folder the cluster names in ``spark.checkpoint.dir``.
+    Where that is unset, a local master gets one in the warehouse folder, as in tests.
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomdex-", dir="/tmp"))
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = rows.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
+        context.setCheckpointDir(shared)
     return rows.checkpoint()

@@ -562,7 +562,7 @@ SQL["merge_results"] = with_(RUNS, select="""
 SELECT r.id, r.attempt, r.status, r.value, a.position, r.is_new
 FROM (SELECT *, 0 AS is_new FROM done UNION ALL BY NAME SELECT *, 1 AS is_new FROM fresh) r
 JOIN asked a ON a.id = r.id""")
-_CODE_OF = "TRY_CAST(nullif(regexp_extract({}, '\"code\":(\\d+)', 1), '') AS INT)"
+_CODE_OF = "TRY_CAST(nullif(regexp_extract({}, '\"code\":(\\d+)', 1), '') AS BIGINT)"
 SQL["error_code"] = with_(RUN_LOG, select=f"""
 SELECT event_id, {_CODE_OF.format("coalesce(message, 'no code')")} AS code,
   left(coalesce(message, 'no code'), 200) AS message FROM run_log""")

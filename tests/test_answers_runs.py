@@ -173,3 +173,10 @@ def test_evaluation_results(spark):
     assert (got["q1"].status, got["q1"].totalLatencyMs, got["q1"].error) == ("success", 15, None)
     assert (got["q2"].status, got["q2"].totalLatencyMs, got["q2"].retrievedSources) == ("error", 44, [])
     assert (got["q2"].generatedAnswer, got["q2"].insufficient, got["q2"].error.code) == (None, None, 503)
+
+
+def test_long_error_codes_are_kept(spark):
+    from loomdex.operators.runs import error_code
+
+    rows = spark.createDataFrame([('{"code":12345678901}',), ("no code",)], "message string")
+    assert [r[0] for r in rows.select(error_code(F.col("message"))).collect()] == [12345678901, None]

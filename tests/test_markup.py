@@ -130,3 +130,12 @@ def test_corpus_job(spark):
     assert (report.raw, report.processed, report.failed, report.short, report.enough) == (
         3, 1, 2, 1, False
     )
+
+
+def test_long_open_brace_does_not_overflow(spark):
+    from loomdex.functions.markup import strip_inline_markup
+
+    text = "{+a" + "b " * 100_000
+    rows = spark.createDataFrame([(text,), ("x {+name of it+} y",)], "text string")
+    out = [r[0] for r in rows.select(strip_inline_markup(F.col("text"))).collect()]
+    assert out[0] == text and "{+" not in out[1]
