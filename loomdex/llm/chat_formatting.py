@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.partitions import checkpointed, sorted_groups
+from loomdex.llm.partitions import sorted_groups
+from loomdex.session import checkpointed
 
 ROLES = ("", "system", "user", "assistant")     # the automaton's states; "" is the start
 FOLLOWING = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}

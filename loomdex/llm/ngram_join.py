@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomdex.llm.partitions import IdFilter, checkpointed, components, sorted_groups
+from loomdex.llm.partitions import IdFilter, components, sorted_groups
 from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
+from loomdex.session import checkpointed
 
 PERCENT = 75
 HOT_SHARE = 0.0004          # shingles of a larger share of the documents come last

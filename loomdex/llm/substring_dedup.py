@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.partitions import IdFilter, checkpointed, sorted_groups
+from loomdex.llm.partitions import IdFilter, sorted_groups
+from loomdex.session import checkpointed
 from loomdex.llm.suffix_automaton import SuffixAutomaton
 from loomdex.llm.word_arrays import Words, slices
 
