@@ -22,8 +22,8 @@ from loomdex.llm.suffix_automaton import EntryAutomaton
 from loomdex.llm.word_arrays import slices
 
 MAX_VOCABULARY_BYTES = 64 << 20     # larger files are refused: the vocabulary is broadcast
-CACHED_PIECES = 150_000             # remembered by a task before it starts afresh
-CACHED_PAIRS = 150_000
+CACHED_PIECES = 400_000             # remembered by a task before it starts afresh
+CACHED_PAIRS = 300_000
 _PAIR = 1 << 20                     # a pair of ids as one number
 _FINAL = 0x10000                    # added to a character that ends a word
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
