@@ -13,6 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from loomdex.plans.given_tables import INPUT_PARTITIONS  # noqa: E402
 from loomdex.plans.table_queries import QUERIES  # noqa: E402
 from loomdex.session import local_session  # noqa: E402
 
@@ -34,6 +35,8 @@ def run(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    # the files of the small tables have one row group each
+    spark.conf.set(INPUT_PARTITIONS, os.environ.get("BENCH_CPUS", "8"))
     seconds = {}
     for name in HEADLINE:
         run(spark, name, folder)

@@ -72,13 +72,15 @@ def clean_corpus(raw: DataFrame, manifest: DataFrame, source: str | None = None)
     joined = raw.select(F.col("id"), F.col("text").alias("rawText")).join(meta, "id", "left")
     # documents without a manifest entry are rejected before any cleaning work
     cleaned = F.when(F.col("__known"), clean_markup(F.col("rawText")))
-    reason = (
-        F.when(F.col("__known").isNull(), "no manifest entry")
-        .when(F.col("text") == "", "empty after cleaning")
-    )
+
+    def judged(text: Column) -> Column:
+        reason = F.when(F.col("__known").isNull(), "no manifest entry").when(
+            text == "", "empty after cleaning")
+        return F.struct(text.alias("text"), reason.alias("reason"))
+
+    # a generated row: a filter on the reason stays above it, so that cleaning runs once
     return (
-        joined.withColumn("text", cleaned)
-        .withColumn("reason", reason)
+        joined.select("*", F.inline(F.transform(F.array(cleaned), judged)))
         .withColumn("source", F.lit(source) if source else F.col("source"))
         .withColumn("file", F.coalesce("file", F.concat("id", F.lit(".txt"))))
         .drop("__known")

@@ -139,12 +139,15 @@ def compare_categories(rows: DataFrame, experiments: tuple[str, str]) -> DataFra
 
 
 def flips(rows: DataFrame, experiments: tuple[str, str]) -> DataFrame:
-    """Questions whose Hit@1 or Hit@5 differs between two experiments."""
+    """Questions whose Hit@1 or Hit@5 differs between two experiments.
+
+    A question that failed in one of them is no flip: its ranking is not known.
+    """
     def of(experiment: str, flag: str) -> Column:
         return F.max(F.when(F.col("experiment") == experiment, F.col(flag)))
 
     first, second = experiments
-    both = rows.groupBy("id").agg(
+    both = rows.filter(F.col("error").isNull()).groupBy("id").agg(
         of(first, "hit1").alias("first_hit1"), of(first, "hit5").alias("first_hit5"),
         of(second, "hit1").alias("second_hit1"), of(second, "hit5").alias("second_hit5"),
     )
@@ -171,9 +174,9 @@ def score_margins(rows: DataFrame) -> DataFrame:
 
 
 def failure_class(rows: DataFrame) -> DataFrame:
-    """Per experiment: how many questions hit at rank 1, rank below, or miss."""
+    """Per experiment: how many questions hit at rank 1, rank below, miss, or failed (error)."""
     kind = (
-        F.when(is_hit(1), "hit").when(is_hit(5), "ranked_below").otherwise("total_miss")
+        F.when(F.col("error").isNotNull(), "error").when(is_hit(1), "hit").when(is_hit(5), "ranked_below").otherwise("total_miss")
     )
     return rows.groupBy("experiment", kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 

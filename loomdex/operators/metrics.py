@@ -11,6 +11,9 @@ from loomdex import fixed_values as fv
 from loomdex.functions.text import keywords, rate, round_half_up
 
 
+PHASES = ("retrieval", "generation", "total")
+
+
 def _ids(column: str) -> Column:
     return F.transform(F.col(column), lambda c: c["documentId"])
 
@@ -72,11 +75,26 @@ def _answered() -> Column:
     return _in_scope() & F.coalesce(~F.col("insufficient"), F.lit(False))
 
 
-def citation_precision(results: DataFrame) -> DataFrame:
-    """Mean share of citations that were retrieved, over answered rows that cite anything."""
+def _citation_share() -> Column:
+    """Share of a row's citations that were retrieved; null if it cites nothing."""
     cited, found = _ids("citations"), _ids("retrievedSources")
     valid = F.filter(cited, lambda d: F.coalesce(F.array_contains(found, d), F.lit(False)))
-    share = F.when(_answered() & (F.size(cited) > 0), F.size(valid) / F.size(cited))
+    return F.when(_answered() & (F.size(cited) > 0), F.size(valid) / F.size(cited))
+
+
+def _covered() -> Column:
+    return F.coalesce(F.array_contains(_ids("citations"), F.col("expectedSource")), F.lit(False))
+
+
+def _rightly_refused() -> Column:
+    return F.coalesce(F.col("insufficient"), F.lit(False)) & (
+        F.coalesce(F.size("citations"), F.lit(0)) <= 0
+    )
+
+
+def citation_precision(results: DataFrame) -> DataFrame:
+    """Mean share of citations that were retrieved, over answered rows that cite anything."""
+    share = _citation_share()
     return results.agg(
         round_half_up(F.avg(share)).alias("precision"), F.count(share).alias("rows_with_citations")
     )
@@ -84,9 +102,8 @@ def citation_precision(results: DataFrame) -> DataFrame:
 
 def citation_coverage(results: DataFrame) -> DataFrame:
     """Share of answered in-scope rows that cite the expected document."""
-    covered = F.coalesce(F.array_contains(_ids("citations"), F.col("expectedSource")), F.lit(False))
     counted = results.agg(
-        F.count_if(_answered() & covered).alias("coverage_hits"),
+        F.count_if(_answered() & _covered()).alias("coverage_hits"),
         F.count_if(_answered()).alias("answered"),
     )
     return counted.withColumn("coverage", rate(F.col("coverage_hits"), F.col("answered")))
@@ -94,11 +111,8 @@ def citation_coverage(results: DataFrame) -> DataFrame:
 
 def out_of_scope_rate(results: DataFrame) -> DataFrame:
     """Share of out-of-scope rows handled rightly: insufficient and without citations."""
-    right = F.coalesce(F.col("insufficient"), F.lit(False)) & (
-        F.coalesce(F.size("citations"), F.lit(0)) <= 0
-    )
     counted = results.agg(
-        F.count_if(_out_of_scope() & right).alias("correct"),
+        F.count_if(_out_of_scope() & _rightly_refused()).alias("correct"),
         F.count_if(_out_of_scope()).alias("total"),
     )
     return counted.withColumn("rate", rate(F.col("correct"), F.col("total")))
@@ -134,7 +148,11 @@ def answer_labels(results: DataFrame) -> DataFrame:
 
     An answer that calls the context insufficient needs a manual review.
     """
-    scored = answer_score(results.filter(_in_scope()))
+    return _labelled(results.filter(_in_scope()))
+
+
+def _labelled(results: DataFrame) -> DataFrame:
+    scored = answer_score(results)
     lacking = F.coalesce(F.col("insufficient"), F.lit(False))
     return scored.withColumns({
         "label": F.when(lacking, fv.ANSWER_LABELS[3]).otherwise(F.col("label")),
@@ -181,7 +199,7 @@ def latency_stats(results: DataFrame) -> DataFrame:
     """Statistics per phase over successful results, nulls left out."""
     phases = results.filter(_success()).select(F.inline(F.array(*[
         F.struct(F.lit(phase).alias("phase"), F.col(f"{phase}LatencyMs").alias("ms"))
-        for phase in ("retrieval", "generation", "total")
+        for phase in PHASES
     ])))
     return value_stats(phases, "phase", "ms")
 
@@ -198,37 +216,96 @@ def per_category(results: DataFrame) -> DataFrame:
 
 
 def metrics_long(questions: DataFrame, results: DataFrame) -> DataFrame:
-    """The numbers of the metrics report as (section, metric, value) rows."""
-
-    def rows(section: str, frame: DataFrame, columns: Sequence[str], prefix: str | None = None):
-        name = F.lit("") if prefix is None else F.concat(F.col(prefix), F.lit("."))
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("value")) for c in columns
-        ])
-        return frame.select(name.alias("p"), F.inline(cells)).select(
-            F.lit(section).alias("section"), F.concat("p", "m").alias("metric"), "value"
-        )
+    """The numbers of the metrics report as (section, metric, value, raw) rows.
 
+    ``raw`` is "count/of" where the value is a rate. The results are read once: each
+    gives a row for its category and one per phase with a latency, which are counted per
+    (category or phase, millisecond) before anything else; all numbers are sums of these.
+    """
     hits = [f"hit{k}" for k in fv.HIT_CUTOFFS]
-    parts = [
-        rows("overview", overview(questions, results),
-             ["total", "completed", "successful", "failed", "skipped",
-              "in_scope_completed", "out_of_scope_completed"]),
-        rows("retrieval", hit_rates(results), ["n", *hits, *[f"{h}_raw" for h in hits]]),
-        rows("citation", citation_precision(results), ["precision"]),
-        rows("citation", citation_coverage(results), ["coverage", "coverage_hits", "answered"]),
-        rows("citation",
-             out_of_scope_rate(results).select(
-                 F.col("rate").alias("out_of_scope_rate"),
-                 F.col("correct").alias("out_of_scope_correct"),
-                 F.col("total").alias("out_of_scope_total")),
-             ["out_of_scope_rate", "out_of_scope_correct", "out_of_scope_total"]),
-        rows("answers", answer_quality(results), ["n", "rate"], "label"),
-        rows("latency", latency_stats(results), ["n", "avg", "p50", "p95", "min", "max"], "phase"),
-        rows("category", per_category(results),
-             ["questions", "hit5", "hit5_raw", *fv.ANSWER_LABELS], "category"),
+    flags = {
+        "completed": F.lit(True), "successful": _success(), "failed": F.col("status") == "error",
+        "in_scope_completed": _in_scope(), "out_of_scope_completed": _out_of_scope(),
+        "answered": _answered(), "coverage_hits": _answered() & _covered(),
+        "out_of_scope_correct": _out_of_scope() & _rightly_refused(),
+        **{f"hit{k}_raw": _in_scope() & is_hit(k) for k in fv.HIT_CUTOFFS},
+        **{name: _in_scope() & (F.col("label") == name) for name in fv.ANSWER_LABELS},
+    }
+    flagged = _labelled(results).select(
+        "category", *[flag.alias(name) for name, flag in flags.items()],
+        _citation_share().alias("share"),
+        *[F.when(_success(), F.col(f"{p}LatencyMs")).cast("long").alias(p) for p in PHASES],
+    )
+    kinds = F.array(
+        F.struct(F.lit("category").alias("kind"), F.col("category").alias("key"),
+                 F.lit(None).cast("long").alias("ms")),
+        *[F.struct(F.lit("latency").alias("kind"), F.lit(p).alias("key"), F.col(p).alias("ms"))
+          for p in PHASES],
+    )
+    own = F.col("kind") == "category"
+    counted = flagged.select("*", F.inline(kinds)).filter(own | F.col("ms").isNotNull()).groupBy(
+        "kind", "key", "ms").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(own & F.col(name)).alias(name) for name in flags],
+        F.sum(F.when(own, F.col("share"))).alias("share"),
+        F.count(F.when(own, F.col("share"))).alias("cited"),
+    )
+    asked = questions.agg(F.count(F.lit(1)).alias("asked")).select(
+        F.lit("questions").alias("kind"), F.lit(None).cast("string").alias("key"), "asked",
+        F.lit(0).cast("long").alias("n"),
+    )
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+    sums = counted.unionByName(asked, allowMissingColumns=True).groupingSets(
+        [[F.col("kind"), F.col("key")], []], F.col("kind"), F.col("key")).agg(
+        F.grouping_id().alias("level"), total("asked"), total("n"), *[total(f) for f in flags],
+        round_half_up(F.try_divide(F.sum("share"), F.sum("cited"))).alias("precision"),
+        round_half_up(F.try_divide(F.sum(F.col("ms") * F.col("n")), F.sum("n"))).alias("avg"),
+        round_half_up(F.percentile("ms", F.lit(0.5), F.col("n"))).alias("p50"),
+        round_half_up(F.percentile("ms", F.lit(0.95), F.col("n"))).alias("p95"),
+        F.min("ms").alias("min"), F.max("ms").alias("max"),
+    )
+
+    def cell(section: str, metric: str, value: str | Column, of: str | None = None,
+             prefix: Column | None = None) -> Column:
+        value = F.col(value) if isinstance(value, str) else value
+        raw = F.lit(None).cast("string") if of is None else F.concat(
+            value.cast("string"), F.lit("/"), F.col(of).cast("string"))
+        name = F.lit(metric) if prefix is None else F.concat(prefix, F.lit("." + metric))
+        return F.struct(
+            F.lit(section).alias("section"), name.alias("metric"),
+            (value if of is None else rate(value, F.col(of))).cast("double").alias("value"),
+            raw.alias("raw"))
+
+    everything = [
+        cell("overview", "total", "asked"),
+        *[cell("overview", c, c) for c in ("completed", "successful", "failed",
+                                           "in_scope_completed", "out_of_scope_completed")],
+        cell("overview", "skipped", F.col("asked") - F.col("completed")),
+        cell("retrieval", "n", "in_scope_completed"),
+        *[cell("retrieval", h, f"{h}_raw", "in_scope_completed") for h in hits],
+        *[cell("retrieval", f"{h}_raw", f"{h}_raw") for h in hits],
+        cell("citation", "precision", "precision"),
+        cell("citation", "coverage", "coverage_hits", "answered"),
+        cell("citation", "coverage_hits", "coverage_hits"), cell("citation", "answered", "answered"),
+        cell("citation", "out_of_scope_rate", "out_of_scope_correct", "out_of_scope_completed"),
+        cell("citation", "out_of_scope_correct", "out_of_scope_correct"),
+        cell("citation", "out_of_scope_total", "out_of_scope_completed"),
+        *[cell("answers", f"{name}.n", name) for name in fv.ANSWER_LABELS],
+        *[cell("answers", f"{name}.rate", name, "in_scope_completed") for name in fv.ANSWER_LABELS],
+    ]
+    key = F.col("key")
+    latency = [cell("latency", c, c, prefix=key) for c in ("n", "avg", "p50", "p95", "min", "max")]
+    category = [
+        cell("category", "questions", "in_scope_completed", prefix=key),
+        cell("category", "hit5", "hit5_raw", "in_scope_completed", key),
+        *[cell("category", c, c, prefix=key) for c in ("hit5_raw", *fv.ANSWER_LABELS)],
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    chosen = (
+        F.when(F.col("level") > 0, F.array(*everything))
+        .when(F.col("kind") == "latency", F.array(*latency))
+        .when((F.col("kind") == "category") & (F.col("in_scope_completed") > 0), F.array(*category))
+    )
+    return sums.select(F.inline(chosen))

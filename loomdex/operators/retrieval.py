@@ -300,18 +300,38 @@ PUBLIC_CHUNK_FIELDS = (
 )
 
 
+def _embedded_questions(questions: DataFrame, embedder: Embedder, query_id: str,
+                        text: str) -> DataFrame:
+    return embed(
+        valid_questions(questions, text).select(F.col(query_id).alias("queryId"),
+                                                F.col(text).alias("__text")),
+        embedder, id_col="queryId", text="__text",
+    )
+
+
+def failed_questions(questions: DataFrame, embedder: Embedder, *, query_id: str = "id",
+                     text: str = "question") -> DataFrame:
+    """id, message and elapsedMs (unknown) of the questions that could not be embedded.
+
+    The shape of the ``failures`` of :func:`~loomdex.operators.runs.evaluation_results`, so
+    that such a question becomes an error and not one whose context is insufficient.
+    """
+    failed = _embedded_questions(questions, embedder, query_id, text).filter(
+        F.col("error").isNotNull())
+    return failed.select(
+        F.col("queryId").alias("id"), F.col("error").alias("message"),
+        F.lit(None).cast("long").alias("elapsedMs"))
+
+
 def retrieve(embedded_chunks: DataFrame, questions: DataFrame, embedder: Embedder,
              k: int = fv.TOP_K, *, query_id: str = "id", text: str = "question") -> DataFrame:
     """Embed the whole question table and find the k nearest chunks of each question.
 
     ``embedder`` is the one for questions; a model with separate modes for
     documents and questions is given in its question mode here. Chunk metadata
-    and text come along, the vector does not.
+    and text come along, the vector does not. A question that could not be embedded has no
+    rows here; :func:`failed_questions` lists those, as failures of the run.
     """
-    asked = embed(
-        valid_questions(questions, text).select(F.col(query_id).alias("queryId"),
-                                                F.col(text).alias("__text")),
-        embedder, id_col="queryId", text="__text",
-    ).filter(F.col("error").isNull())
+    asked = _embedded_questions(questions, embedder, query_id, text).filter(F.col("error").isNull())
     payload = [c for c in PUBLIC_CHUNK_FIELDS if c in embedded_chunks.columns]
     return nearest(embedded_chunks, asked, k, payload=payload)

@@ -20,14 +20,31 @@ from loomdex.operators.validation import duplicate_keys
 SHARDS = 1024
 
 
-def upserted(existing: DataFrame, updates: DataFrame, key: str = "chunkId") -> DataFrame:
-    """Replace rows by key and add the new ones. Doing it twice changes nothing more."""
+def one_per_key(rows: DataFrame, key: str = "chunkId", order: str | None = None) -> DataFrame:
+    """The last row of each key by ``order``; without an order, the greatest row."""
+    fields = F.struct(*[c for c in rows.columns if c != key])
+    last = F.max(fields) if order is None else F.max_by(fields, F.col(order))
+    return rows.groupBy(key).agg(last.alias("__row")).select(key, "__row.*").select(*rows.columns)
+
+
+def upserted(existing: DataFrame, updates: DataFrame, key: str = "chunkId",
+             order: str | None = None) -> DataFrame:
+    """Replace rows by key and add the new ones. Doing it twice changes nothing more.
+
+    A key that a batch has several times is written once, see :func:`one_per_key`.
+    """
+    updates = one_per_key(updates, key, order)
     kept = existing.join(updates.select(key), key, "left_anti")
     return kept.select(*existing.columns).unionByName(updates.select(*existing.columns))
 
 
-def upsert_counts(existing: DataFrame, updates: DataFrame, key: str = "chunkId") -> DataFrame:
-    """Inserted, matched, and replaced rows; replaced are those whose content changed."""
+def upsert_counts(existing: DataFrame, updates: DataFrame, key: str = "chunkId",
+                  order: str | None = None) -> DataFrame:
+    """Inserted, matched, and replaced rows; replaced are those whose content changed.
+
+    Keys count once, as in :func:`upserted`.
+    """
+    updates = one_per_key(updates, key, order)
     fields = [c for c in existing.columns if c != key]
     old = existing.select(key, F.struct(*fields).alias("old"))
     new = updates.select(key, F.struct(*fields).alias("new"))
@@ -63,16 +80,23 @@ def replace_experiment(spark: SparkSession, path: str, records: DataFrame, exper
     sharded.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/experiment={experiment}")
 
 
-def swap_counts(stored: DataFrame, records: DataFrame) -> DataFrame:
-    """Counts of a replacement: rows before, deleted, loaded and after."""
-    sides = stored.select(F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(
-        records.select(F.lit(0).alias("old"), F.lit(1).alias("new"))
-    )
-    return sides.agg(
-        F.coalesce(F.sum("old"), F.lit(0)).alias("count_before"),
-        F.coalesce(F.sum("old"), F.lit(0)).alias("deleted"),
-        F.coalesce(F.sum("new"), F.lit(0)).alias("inserted"),
-        F.coalesce(F.sum("new"), F.lit(0)).alias("count_after"),
+def swapped(stored: DataFrame, records: DataFrame, experiment: str) -> DataFrame:
+    """The stored rows after an experiment was cleared and loaded anew."""
+    loaded = records.withColumn("experiment", F.lit(experiment)).select(*stored.columns)
+    return stored.filter(~F.col("experiment").eqNullSafe(experiment)).unionByName(loaded)
+
+
+def swap_counts(stored: DataFrame, records: DataFrame, experiment: str) -> DataFrame:
+    """Per experiment: rows before, deleted, inserted and after the replacement."""
+    after = swapped(stored, records, experiment)
+    sides = stored.select("experiment", F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(
+        after.select("experiment", F.lit(0).alias("old"), F.lit(1).alias("new")))
+    own = F.col("experiment") == experiment
+    return sides.groupBy("experiment").agg(
+        F.sum("old").alias("count_before"), F.sum("new").alias("count_after"),
+    ).select(
+        "experiment", "count_before", F.when(own, F.col("count_before")).otherwise(0).alias("deleted"),
+        F.when(own, F.col("count_after")).otherwise(0).alias("inserted"), "count_after",
     )
 
 

@@ -26,6 +26,7 @@ NO_CONTEXT_ANSWER = (
 )
 ANSWER_FROM_COSINE = 0.8    # below it, the stand-in answer says the context is insufficient
 EXPERIMENTS = {"chunk-300": (300, 50), "chunk-800": (800, 100)}
+INPUT_PARTITIONS = "spark.loomdex.inputPartitions"
 _PATTERN_BLOCK_BYTES = 32 << 20
 
 
@@ -47,15 +48,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """On one machine, spread a table kept in a single file over all cores.
+    """Deal the rows out over as many partitions as the session asks for, if it does.
 
-    A small file has one row group, which would keep one core busy. On a cluster
-    the many files of a table already do that, and nothing is shuffled.
+    A small file has one row group, which keeps one core busy; a session for such files (the
+    benchmark) names a number. Otherwise the table is read as it lies.
     """
-    context = rows.sparkSession.sparkContext
-    if context.master.startswith("local"):
-        return rows.repartition(context.defaultParallelism)
-    return rows
+    parts = rows.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def document_id(number: str | Column) -> Column:

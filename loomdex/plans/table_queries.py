@@ -16,7 +16,6 @@ from loomdex.functions.text import keywords
 from loomdex.operators import answers, chunks, corpus, embedding, experiments
 from loomdex.operators import metrics, retrieval, runs, store, validation
 from loomdex.plans import given_tables as given
-from loomdex.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,6 +257,14 @@ def vector_file_check(spark, folder):
     return validation.vector_table_check(known)
 
 
+@query
+def vector_complete(spark, folder):
+    """Vector records against the number of documents they should be for."""
+    expected = given.table(spark, folder, "documents").count()
+    known = given.vector_records(spark, folder).filter(F.col("chunkId").isNotNull())
+    return validation.vector_table_check(known, expected)
+
+
 # --- store ----------------------------------------------------------------------------
 def _rechunked(spark, folder):
     """Documents labelled good, chunked anew with the small configuration."""
@@ -282,9 +289,11 @@ def upsert_counts(spark, folder):
 
 @query
 def experiment_swap(spark, folder):
-    return store.swap_counts(
-        given.chunks(spark, folder, "chunk-300"), given.chunks(spark, folder, "chunk-800")
-    )
+    """Documents' chunks of both configurations; the small one is loaded anew for good documents."""
+    sizes = {name: given.chunks(spark, folder, name).select(
+        "chunkId", "text", F.lit(name).alias("experiment")) for name in PAIR}
+    stored = sizes["chunk-300"].unionByName(sizes["chunk-800"])
+    return store.swap_counts(stored, _rechunked(spark, folder), "chunk-300")
 
 
 # --- retrieval ---------------------------------------------------------------------------
@@ -332,9 +341,7 @@ def question_filter(spark, folder):
     )
     asked = retrieval.valid_questions(turns).withColumn("kept", F.lit(True))
     rest = retrieval.rejected_questions(turns).withColumn("kept", F.lit(False))
-    return asked.unionByName(rest).groupBy("kept").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("question")).alias("chars")
-    )
+    return asked.unionByName(rest)
 
 
 # --- contexts, citations, answers -----------------------------------------------------------
@@ -515,7 +522,7 @@ def evaluation_results(spark, folder):
 # --- metrics -----------------------------------------------------------------------------------
 @query
 def metrics_overview(spark, folder):
-    return metrics.overview(given.customer_questions(spark, folder), given.results(spark, folder))
+    return metrics.overview(given.table(spark, folder, "benchmark"), given.results(spark, folder))
 
 
 @query
@@ -597,9 +604,7 @@ def per_category(spark, folder):
 
 @query
 def metrics_long(spark, folder):
-    # eight aggregates read the results; they are computed once and kept
-    results = checkpointed(given.results(spark, folder))
-    return metrics.metrics_long(results.select("id"), results)
+    return metrics.metrics_long(given.table(spark, folder, "benchmark"), given.results(spark, folder))
 
 
 # --- experiments -----------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from loomdex import fixed_values as fv
 from loomdex.functions.vectors import Embedder
 from loomdex.operators.embedding import embedded_rows, failed_rows
 from loomdex.operators.store import upsert_table
-from loomdex.plans.ingest import ingest_plan
+from loomdex.plans.ingest import write_ingest
 from loomdex.sources.files import raw_documents
 
 
@@ -27,17 +27,15 @@ def start_ingest(spark: SparkSession, folder: str, manifest: DataFrame, table: s
                  size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> StreamingQuery:
     """Process all files that are there now and stop; start again for later ones.
 
-    Each batch is embedded once into ``staging`` (overwritten per batch), then
-    upserted from there. Dead letters stay readable in ``staging`` until the
-    next batch and are appended to ``<table>_failures``.
+    Each batch is cleaned and embedded once into ``staging`` (overwritten per batch), then
+    upserted from there. Chunks that could not be embedded are kept in ``<table>_failures``,
+    documents without a manifest entry or empty after cleaning in ``<table>_rejects``.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        ingest_plan(batch, manifest, embedder, size, overlap).write.mode("overwrite").parquet(
-            staging
-        )
-        done = spark.read.parquet(staging)
-        # a batch that is run again after a failure replaces its own dead letters
+        done, rejects = write_ingest(batch, manifest, embedder, staging, size, overlap)
+        # a batch that is run again after a failure replaces its own rejects and dead letters
+        rejects.write.mode("overwrite").parquet(f"{table}_rejects/batch={batch_id}")
         failed_rows(done).write.mode("overwrite").parquet(f"{table}_failures/batch={batch_id}")
         upsert_table(spark, table, embedded_rows(done), experiment)
 

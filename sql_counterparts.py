@@ -438,7 +438,8 @@ SELECT count(*) AS n_chunks, count(DISTINCT chunkId) AS unique_ids,
   count(*) - count(DISTINCT chunkId) AS duplicate_ids,
   count(*) FILTER ({trim('text')} = '') AS empty_text,
   count(*) FILTER (chunkSize <> 800 OR overlap <> 100) AS wrong_config,
-  count(*) = count(DISTINCT chunkId) AND count(*) FILTER ({trim('text')} = '') = 0 AS ok
+  count(*) = count(DISTINCT chunkId) AND count(*) FILTER ({trim('text')} = '') = 0
+    AND count(*) FILTER (chunkSize <> 800 OR overlap <> 100) = 0 AS ok
 FROM chunks_800""")
 SQL["vector_file_check"] = with_(VECTORS, select=f"""
 SELECT count(*) AS n_rows, CASE WHEN count(DISTINCT {_DIM}) = 1 THEN max({_DIM}) END AS dimension,
@@ -446,6 +447,13 @@ SELECT count(*) AS n_rows, CASE WHEN count(DISTINCT {_DIM}) = 1 THEN max({_DIM})
   count(*) FILTER (embedding IS NULL) AS missing_vectors,
   count(DISTINCT {_DIM}) = 1 AS consistent FROM stored""")
 
+SQL["vector_complete"] = with_(VECTORS, select=f"""
+SELECT *, n_rows = (SELECT count(*) FROM documents) AND duplicate_ids = 0 AND missing_vectors = 0 AND consistent AS complete
+FROM (SELECT count(*) AS n_rows, CASE WHEN count(DISTINCT {_DIM}) = 1 THEN max({_DIM}) END AS dimension,
+  count(*) - count(DISTINCT chunkId) AS duplicate_ids,
+  count(*) FILTER (embedding IS NULL) AS missing_vectors, count(DISTINCT {_DIM}) = 1 AS consistent
+  FROM stored)""")
+
 # --- store ------------------------------------------------------------------------------------
 UPDATES = (DOCS, C800, """good AS (
   SELECT * FROM docs WHERE documentId IN (SELECT 'doc-' || doc_id FROM labels WHERE quality = 1))""",
@@ -458,9 +466,11 @@ SQL["upsert_counts"] = with_(*UPDATES, select="""
 SELECT count(*) FILTER (c.chunkId IS NULL) AS inserted, count(c.chunkId) AS matched,
   count(*) FILTER (c.chunkId IS NOT NULL AND (c.text <> u.text OR c.chunkSize <> u.chunkSize)) AS replaced
 FROM updates u LEFT JOIN chunks_800 c ON c.chunkId = u.chunkId""")
-SQL["experiment_swap"] = with_(DOCS, C800, C300, select="""
-SELECT o.n AS count_before, o.n AS deleted, w.n AS inserted, w.n AS count_after
-FROM (SELECT count(*) AS n FROM chunks_300) o, (SELECT count(*) AS n FROM chunks_800) w""")
+SQL["experiment_swap"] = with_(*UPDATES, C300, select="""
+SELECT 'chunk-300' AS experiment, o.n AS count_before, o.n AS deleted, w.n AS inserted,
+  w.n AS count_after
+FROM (SELECT count(*) AS n FROM chunks_300) o, (SELECT count(*) AS n FROM updates) w
+UNION ALL SELECT 'chunk-800', count(*), 0, 0, count(*) FROM chunks_800""")
 
 # --- retrieval ----------------------------------------------------------------------------------
 SQL["topk_cosine"] = """
@@ -484,9 +494,9 @@ SQL["retrieve_300"] = with_(*FOUND_300, select="""
 SELECT queryId AS "queryId", rank, chunkId AS "chunkId", documentId AS "documentId",
   round(score, 6) AS score FROM found300""")
 SQL["question_filter"] = f"""
-SELECT {trim('q')} <> '' AS kept, count(*) AS n, sum(length(q))::BIGINT AS chars
-FROM (SELECT CASE WHEN role = 'user' THEN text ELSE ' ' || {NL} || ' ' END AS q FROM conversations)
-GROUP BY 1"""
+SELECT conv_id, turn, question, {trim('question')} <> '' AS kept
+FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE ' ' || {NL} || ' ' END AS question
+      FROM conversations)"""
 
 # --- contexts, citations, answers -----------------------------------------------------------------
 _CONTEXT = (f"string_agg('[' || rank || '] Source: ' || title || {NL} || text, "
@@ -590,7 +600,7 @@ SELECT id, category, scope, expectedSource AS "expectedSource",
 SQL["metrics_overview"] = with_(*ALL_RESULTS, select=f"""
 SELECT total, completed, successful, failed, in_scope_completed, out_of_scope_completed,
   total - completed AS skipped, completed < total AS is_preliminary
-FROM (SELECT (SELECT count(*) FROM customer) AS total, count(*) AS completed,
+FROM (SELECT (SELECT count(*) FROM benchmark) AS total, count(*) AS completed,
   count(*) FILTER ({OK}) AS successful, count(*) FILTER (status = 'error') AS failed,
   count(*) FILTER {IN} AS in_scope_completed, count(*) FILTER {OUT} AS out_of_scope_completed
   FROM results)""")
@@ -691,9 +701,22 @@ CATEGORY = f"""categories AS (
 SQL["per_category"] = with_(*ALL_RESULTS, LABELS, CATEGORY, select="SELECT * FROM categories")
 
 
+RAW_OF = {
+    **{f"hit{k}": (f"hit{k}_raw", "n") for k in (1, 3, 5)}, "coverage": ("coverage_hits", "answered"),
+    "out_of_scope_rate": ("out_of_scope_correct", "out_of_scope_total"), "rate": ("n", "total"),
+}
+
+
 def long(section: str, source: str, columns: list[str], prefix: str = "''") -> str:
+    def raw(c: str) -> str:
+        if c not in RAW_OF:
+            return "NULL::VARCHAR"
+        count, of = RAW_OF[c]
+        return f"{count} || '/' || {'questions' if section == 'category' else of}"
+
     return "\nUNION ALL\n".join(
-        f"SELECT '{section}' AS section, {prefix} || '{c}' AS metric, {c}::DOUBLE AS value FROM {source}"
+        f"SELECT '{section}' AS section, {prefix} || '{c}' AS metric, {c}::DOUBLE AS value, "
+        f"{raw(c)} AS raw FROM {source}"
         for c in columns)
 
 
@@ -781,7 +804,7 @@ SQL["exp_flips"] = with_(*EXPERIMENTS, select="""
 SELECT a.id, a.hit1 AS first_hit1, a.hit5 AS first_hit5, b.hit1 AS second_hit1, b.hit5 AS second_hit5
 FROM flagged a JOIN flagged b ON b.id = a.id
 WHERE a.experiment = 'chunk-300' AND b.experiment = 'chunk-800'
-  AND (a.hit1 <> b.hit1 OR a.hit5 <> b.hit5)""")
+  AND a.error IS NULL AND b.error IS NULL AND (a.hit1 <> b.hit1 OR a.hit5 <> b.hit5)""")
 SQL["score_margin"] = with_(*EXPERIMENTS, select=f"""
 SELECT experiment, id, expectedSource AS "expectedSource", retrieved[1].documentId AS top_document,
   round(retrieved[1].score, 6) AS top_score,
@@ -790,7 +813,7 @@ SELECT experiment, id, expectedSource AS "expectedSource", retrieved[1].document
 FROM (SELECT *, list_max(list_transform(list_filter(retrieved,
         lambda c: c.documentId = expectedSource), lambda c: c.score)) AS best FROM flagged)""")
 SQL["failure_class"] = with_(*EXPERIMENTS, select="""
-SELECT experiment, CASE WHEN hit1 THEN 'hit' WHEN hit5 THEN 'ranked_below' ELSE 'total_miss' END AS class,
+SELECT experiment, CASE WHEN error IS NOT NULL THEN 'error' WHEN hit1 THEN 'hit' WHEN hit5 THEN 'ranked_below' ELSE 'total_miss' END AS class,
   count(*) AS n FROM flagged GROUP BY 1, 2""")
 SQL["topk_dominance"] = with_(*EXPERIMENTS, select="""
 SELECT experiment, id, retrieved, documentId AS "documentId", chunks FROM (

@@ -6,6 +6,7 @@ from loomdex import schemas
 from loomdex.functions.vectors import hashed_embedder
 from loomdex.operators.experiments import select_experiment
 from loomdex.operators.store import read_store
+from loomdex.plans.ingest import write_ingest
 from loomdex.sources import files
 from loomdex.streaming.ingest import start_ingest
 
@@ -71,3 +72,15 @@ def test_incremental_ingest(spark, tmp_path):
         "one-0000": ("Title\n\nfirst text", "chunk-800", 1024),
         "two-0000": ("second text", "chunk-800", 1024),
     }
+    rejects = spark.read.parquet(f"{table}_rejects").select("file", "reason").collect()
+    assert [tuple(r) for r in rejects] == [("unknown.txt", "no manifest entry")]
+
+
+def test_batch_ingest_writes_rejects(spark, tmp_path):
+    manifest = spark.createDataFrame([tuple(m.values()) for m in MANIFEST], schemas.MANIFEST)
+    raw = spark.createDataFrame(
+        [("one", "text"), ("two", ".. note::\n   gone\n"), ("other", "text")], "id string, text string")
+    done, rejects = write_ingest(raw, manifest, hashed_embedder(), str(tmp_path / "load"))
+    assert [r.chunkId for r in done.collect()] == ["one-0000"]
+    assert {tuple(r) for r in rejects.collect()} == {
+        ("data/raw/two.txt", "empty after cleaning"), ("other.txt", "no manifest entry")}

@@ -32,6 +32,15 @@ def test_upsert_counts(spark):
     assert tuple(store.upsert_counts(old, new).first()) == (1, 2, 1)
 
 
+def test_keys_repeated_in_a_batch_count_once(spark):
+    old, new = rows(spark, ("a", "0")), rows(spark, ("a", "1"), ("a", "2"), ("b", "2"), ("b", "1"))
+    assert content(store.upserted(old, new)) == [("a", "2"), ("b", "2")]
+    assert tuple(store.upsert_counts(old, new).first()) == (1, 1, 1)
+    timed = new.withColumn("at", -F.col("text").cast("int"))
+    kept = store.one_per_key(timed, order="at")
+    assert content(kept) == [("a", "1"), ("b", "1")]
+
+
 def test_stored_table(spark, tmp_path):
     path = str(tmp_path / "table")
     first = rows(spark, *[(f"k{i}", "old") for i in range(200)])
@@ -93,8 +102,13 @@ def test_chunk_table_check(spark):
 
 
 def test_swap_counts_and_first_rows(spark):
-    counts = store.swap_counts(rows(spark, ("a", "1")), rows(spark, ("b", "1"), ("c", "1"))).first()
-    assert tuple(counts) == (1, 1, 2, 2)
+    stored = rows(spark, ("a", "1")).withColumn("experiment", F.lit("x")).unionByName(
+        rows(spark, ("k", "1"), ("l", "1"), ("m", "1")).withColumn("experiment", F.lit("y")))
+    new = rows(spark, ("b", "1"), ("c", "1"))
+    counts = {tuple(r) for r in store.swap_counts(stored, new, "x").collect()}
+    assert counts == {("x", 1, 1, 2, 2), ("y", 3, 0, 0, 3)}
+    assert content(store.swapped(stored, new, "x")) == [
+        ("b", "1"), ("c", "1"), ("k", "1"), ("l", "1"), ("m", "1")]
     chunks = spark.createDataFrame([("d2", 0), ("d1", 1), ("d1", 0)], "documentId string, chunkIndex int")
     assert [tuple(r) for r in store.first_rows(chunks, 2).collect()] == [("d1", 0), ("d1", 1)]
     with pytest.raises(ValueError):
