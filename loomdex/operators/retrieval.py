@@ -26,7 +26,7 @@ from loomdex.session import checkpointed
 
 MAX_BLOCK_ROWS = 4096     # questions per pass
 MAX_BLOCK_BYTES = 64 << 20  # and at most this much of question matrix
-MAX_BROADCAST_ROWS = 1_000_000  # candidate rows (question id, chunk id)
+MAX_BROADCAST_ROWS = 1_000_000  # rows of question id, chunk id, cosine
 _SLICE_ROWS = 2048        # rows per matrix product inside a task
 _MERGE_GROUPS = 64        # first-level groups when merging the task results
 
@@ -145,18 +145,18 @@ def _search_task(shared, k: int, chunk_id: str, vector: str, payload: Sequence[s
     return run
 
 
-def _question_blocks(questions: DataFrame, vector: str, sketch_bits: int):
-    """(ids, matrix) blocks of bounded size; one job when one block is enough."""
+def _question_blocks(questions: DataFrame, vector: str, sketch_bits: int, block_rows: int):
+    """(ids, matrix) blocks of about ``block_rows`` at most; one job when one is enough."""
     query_id = questions.columns[0]
 
     def block_of(table: pa.Table, rows: np.ndarray, matrix: np.ndarray):
         return table[query_id].combine_chunks().take(pa.array(rows)), matrix
 
-    first = questions.limit(MAX_BLOCK_ROWS + 1).toArrow()
+    first = questions.limit(block_rows + 1).toArrow()
     if first.num_rows == 0:
         return
     width = 0
-    if first.num_rows <= MAX_BLOCK_ROWS:
+    if first.num_rows <= block_rows:
         rows, matrix = _matrix(first[vector].combine_chunks(), sketch_bits)
         width = matrix.shape[1] if len(rows) else 0
         if first.num_rows * width * 8 <= MAX_BLOCK_BYTES:
@@ -166,7 +166,7 @@ def _question_blocks(questions: DataFrame, vector: str, sketch_bits: int):
     if not width:
         _, sample = _matrix(first.slice(0, 64)[vector].combine_chunks(), sketch_bits)
         width = max(1, sample.shape[1])
-    size = max(1, min(MAX_BLOCK_ROWS, MAX_BLOCK_BYTES // (width * 8)) // 2)
+    size = max(1, min(block_rows, MAX_BLOCK_BYTES // (width * 8)) // 2)
     questions = checkpointed(questions)  # every block reads it again
     blocks = -(-questions.count() // size)
     for block in range(blocks):
@@ -195,38 +195,45 @@ def top_k(ranked: DataFrame, query_id: str, order: Sequence[Column], k: int) ->
 def nearest(chunks: DataFrame, questions: DataFrame, k: int = fv.TOP_K, *,
             chunk_id: str = "chunkId", vector: str = "embedding",
             query_id: str = "queryId", query_vector: str = "embedding",
-            payload: Sequence[str] = (), exclude_self: bool = False,
-            sketch_bits: int = 0) -> DataFrame:
+            payload: Sequence[str] = (), texts: DataFrame | None = None,
+            exclude_self: bool = False, sketch_bits: int = 0,
+            block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
     """The exact k nearest chunks of every question by cosine.
 
     Returns query id, chunk id, payload columns, ``cosine``, ``score``, ``rank``.
-    Equal cosines are ordered by chunk id. ``payload`` columns of the chunk table
-    travel along, so that no join back is needed. A question table of more than
-    one block reads ``chunks`` once per block: pass a stored table then.
+    Equal cosines are ordered by chunk id. The search carries ids and cosines only;
+    ``payload`` columns are joined to the final k rows, from ``texts`` (unique chunk ids;
+    by default ``chunks``, which is then read twice). Questions are searched in blocks of
+    at most ``block_rows``, and each block reads ``chunks``: pass a stored table.
     """
     _check_k(k)
     spark = chunks.sparkSession
     payload = list(payload)
-    side = chunks.select(chunk_id, *payload, vector)
+    side = chunks.select(chunk_id, vector)
     asked = questions.select(F.col(query_id), F.col(query_vector).alias("__vector"))
     out = T.StructType(
         [T.StructField(query_id, questions.schema[query_id].dataType)]
-        + [side.schema[c] for c in [chunk_id, *payload]]
+        + [side.schema[chunk_id]]
         + [T.StructField("cosine", T.DoubleType())]
     )
+    order = [F.desc("cosine"), F.asc(chunk_id)]
     passes = []
-    for block in _question_blocks(asked, "__vector", sketch_bits):
+    for block in _question_blocks(asked, "__vector", sketch_bits, block_rows):
         shared = spark.sparkContext.broadcast(block)
         task = _search_task(
-            shared, k, chunk_id, vector, payload, exclude_self, sketch_bits, query_id
+            shared, k, chunk_id, vector, (), exclude_self, sketch_bits, query_id
         )
-        passes.append(side.mapInArrow(task, out))
+        passes.append(top_k(side.mapInArrow(task, out), query_id, order, k))
     if not passes:
-        found = spark.createDataFrame([], out)
-    else:
-        found = reduce(DataFrame.union, passes)
-    ranked = top_k(found, query_id, [F.desc("cosine"), F.asc(chunk_id)], k)
-    return ranked.withColumn("score", score_of(F.col("cosine")))
+        passes.append(top_k(spark.createDataFrame([], out), query_id, order, k))
+    if payload:
+        rest = (chunks if texts is None else texts).select(chunk_id, *payload)
+        # the result of a block has k rows per question at most, so the texts stay in place
+        small = block_rows * k <= MAX_BROADCAST_ROWS
+        passes = [rest.join(F.broadcast(p) if small else p, chunk_id) for p in passes]
+    found = reduce(DataFrame.unionByName, passes)
+    return found.select(
+        query_id, chunk_id, *payload, "cosine", "rank", score_of(F.col("cosine")).alias("score"))
 
 
 def with_sketch(vectors: DataFrame, dimension: int, *, vector: str = "embedding",
@@ -324,14 +331,15 @@ def failed_questions(questions: DataFrame, embedder: Embedder, *, query_id: str
 
 
 def retrieve(embedded_chunks: DataFrame, questions: DataFrame, embedder: Embedder,
-             k: int = fv.TOP_K, *, query_id: str = "id", text: str = "question") -> DataFrame:
+             k: int = fv.TOP_K, *, query_id: str = "id", text: str = "question",
+             texts: DataFrame | None = None, block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
     """Embed the whole question table and find the k nearest chunks of each question.
 
     ``embedder`` is the one for questions; a model with separate modes for
     documents and questions is given in its question mode here. Chunk metadata
-    and text come along, the vector does not. A question that could not be embedded has no
+    and text come along (from ``texts`` if given, see :func:`nearest`), the vector does not. A question that could not be embedded has no
     rows here; :func:`failed_questions` lists those, as failures of the run.
     """
     asked = _embedded_questions(questions, embedder, query_id, text).filter(F.col("error").isNull())
-    payload = [c for c in PUBLIC_CHUNK_FIELDS if c in embedded_chunks.columns]
-    return nearest(embedded_chunks, asked, k, payload=payload)
+    payload = [c for c in PUBLIC_CHUNK_FIELDS if c in (embedded_chunks if texts is None else texts).columns]
+    return nearest(embedded_chunks, asked, k, payload=payload, texts=texts, block_rows=block_rows)

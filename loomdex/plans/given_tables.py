@@ -80,10 +80,6 @@ def chunks(spark: SparkSession, folder: str, experiment: str = "chunk-800") -> D
     return chunk_documents(documents(spark, folder), *EXPERIMENTS[experiment])
 
 
-def embedded_chunks(spark: SparkSession, folder: str, experiment: str = "chunk-800") -> DataFrame:
-    return embedded_rows(embed(chunks(spark, folder, experiment), hashed_embedder()))
-
-
 # --- questions ------------------------------------------------------------------
 def _finder(patterns: list[str]):
     """texts -> positions of the patterns found, in one pass over each text."""
@@ -176,7 +172,10 @@ def retrieved(spark: SparkSession, folder: str, experiment: str = "chunk-800") -
     asked = table(spark, folder, "benchmark").select(
         F.concat(F.lit("Q"), "item_id").alias("id"), F.col("text").alias("question")
     )
-    return retrieve(embedded_chunks(spark, folder, experiment), asked, hashed_embedder())
+    pieces = chunks(spark, folder, experiment)
+    return retrieve(
+        embedded_rows(embed(pieces.select("chunkId", "text"), hashed_embedder())), asked,
+        hashed_embedder(), texts=pieces)
 
 
 # --- runs and results --------------------------------------------------------------

@@ -157,3 +157,25 @@ def test_embedder_contract_is_checked(spark):
     assert "0 vectors" in failed_rows(short).first().error
     empty = embed(frame, lambda texts: [[] for _ in texts])
     assert "empty vector" in failed_rows(empty).first().error
+
+
+def test_blocks_and_separate_texts_give_the_same(spark):
+    words = ["red", "green", "blue", "red green", "green blue", "red blue blue", "grey"]
+    chunks = spark.createDataFrame([(f"c{i}", w) for i, w in enumerate(words)], "chunkId string, text string")
+    asked = spark.createDataFrame([(f"q{i}", w) for i, w in enumerate(words)], "id string, question string")
+    vectors = embedded_rows(embed(chunks, hashed_embedder()))
+    whole = retrieval.retrieve(vectors, asked, hashed_embedder(), 3)
+    parts = retrieval.retrieve(vectors.drop("text"), asked, hashed_embedder(), 3, texts=chunks, block_rows=2)
+    assert set(whole.columns) == set(parts.columns)
+    rows = [sorted(map(tuple, f.select(whole.columns).collect())) for f in (whole, parts)]
+    assert rows[0] == rows[1] and len(rows[0]) == 21
+
+
+def test_failed_questions_are_listed(spark):
+    def refusing(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return hashed_embedder()(texts)
+
+    asked = spark.createDataFrame([("a", "bad"), ("b", "good")], "id string, question string")
+    assert [tuple(r) for r in retrieval.failed_questions(asked, refusing).collect()] == [("a", "refused", None)]
