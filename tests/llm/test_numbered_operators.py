@@ -304,3 +304,37 @@ def test_chat_repair(spark, monkeypatch):
     assert chat_formatting.repaired(turns.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, None, "user", "b", ""), (None, 1, "user", "a", "")], turns.schema)
     assert [r.action for r in chat_formatting.repaired(odd).orderBy(F.col("turn").asc_nulls_last()).collect()] == ["keep", "merge"]
+
+
+def losses(texts, corpora):
+    """Per text: mean losses of bigram models with every word and pair of all corpora."""
+    split = [[re.findall(r"[^\W_]+", (t or "").lower()) for t in c] for c in corpora]
+    singles = [Counter(w for t in c for w in t) for c in split]
+    doubles = [Counter(p for t in c for p in zip(t, t[1:])) for c in split]
+    vocabulary, totals = len(set().union(*singles)), [sum(c.values()) for c in singles]
+    for text in texts:
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        sums = [0.0, 0.0]
+        for m, (single, double) in enumerate(zip(singles, doubles)):
+            for before, word in zip([None, *words], words):
+                chance = (single[word] + 0.5) / (totals[m] + 0.5 * (vocabulary + 1))
+                if before is not None and single[before]:
+                    chance = 0.6 * double[before, word] / single[before] + 0.4 * chance
+                sums[m] -= np.log(chance)
+        yield [s / len(words) for s in sums] if words else [None, None]
+
+
+def test_language_models_count_every_word_and_pair(spark):
+    # more words than 2^16, and the rare ones of one model are not those of the other
+    texts = [" ".join(f"w{k}x{i} common" for i in range(2000)) for k in range(40)] + [None, "", "w1x1 w2x2"]
+    goal = ["w1x1 common w1x2 common", "t1 t2 t3 w39x1999 common", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "documentId long, text string")
+    models = lm_scoring.fit(spark.createDataFrame([(t,) for t in goal], "text string"), rows)
+    assert models.sums[0] == 80_001 + 3
+    other = [*texts[:3], "never seen words w1x1 common", "common common t1 t2", None]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(other)], "documentId long, text string")
+    for frame, pairs in ((rows, losses(texts, (goal, texts))), (asked, losses(other, (goal, texts)))):
+        found = sorted(lm_scoring.score(frame, models).collect())
+        for r, pair in zip(found, pairs, strict=True):
+            expected = pair if pair[0] is None else pytest.approx(pair, rel=1e-9)
+            assert [r.targetLoss, r.backgroundLoss] == expected, r.documentId
