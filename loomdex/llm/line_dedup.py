@@ -5,7 +5,8 @@ equal windows select equal lines and a run of that length that occurs twice is s
 share a fingerprint. Fingerprints met at one place only are dropped. The positions of the
 others are joined and extended both ways by the windows that selected them: a window
 whose lines also start earlier is a later copy, and such windows together cover the
-later repeated runs, which are deleted.
+later repeated runs, which are deleted. A repeated line whose neighbours are not repeated
+with it is no run and stays, however long it is.
 """
 
 from __future__ import annotations
