@@ -156,9 +156,10 @@ def _shingled(batches: Iterator[pa.RecordBatch]):
 def _names_and_hot(documents: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
     """documentId, n, name1, name2 of every document; and the shingles of many documents.
 
-    Those are found in parts of the table and summed; there are (mean set size / HOT_SHARE) at
-    most. They only decide how fast the groups are searched: any order of the shingles
-    gives the same links.
+    Those are found in parts of the table and summed. The sum must reach HOT_SHARE of all
+    documents, so there are (mean set size / HOT_SHARE) at most; what only the documents of
+    one part share is not among them. They only decide how fast the groups are searched:
+    any order of the shingles gives the same links.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -178,7 +179,7 @@ def _names_and_hot(documents: DataFrame, key: str) -> tuple[DataFrame, np.ndarra
         values, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
         many = n >= max(3, HOT_SHARE * rows)
         shingles = values[many].astype(np.int64)
-        return made(pa.nulls(len(shingles), kind), n[many], shingles, [rows] * len(shingles), True)
+        return made(pa.nulls(len(shingles), kind), n[many], shingles, np.zeros_like(shingles), True)
 
     def made(ids, n, first, second, hot) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -188,9 +189,9 @@ def _names_and_hot(documents: DataFrame, key: str) -> tuple[DataFrame, np.ndarra
     kind = to_arrow_type(documents.schema["documentId"].dataType)
     every = checkpointed(documents.mapInArrow(
         run, f"documentId {key}, n long, name1 long, name2 long, hot boolean"))
-    hot = every.filter("hot").groupBy("name1").agg(
-        F.sum("n").alias("n"), F.sum("name2").alias("rows")).filter(
-        F.col("n") >= F.lit(HOT_SHARE) * F.col("rows")).select("name1").toArrow()
+    least = HOT_SHARE * every.filter("not hot").count()
+    hot = every.filter("hot").groupBy("name1").agg(F.sum("n").alias("n")).filter(
+        F.col("n") >= F.lit(least)).select("name1").toArrow()
     return every.filter("not hot").drop("hot"), np.sort(hot["name1"].to_numpy().astype(np.uint64))
 
 

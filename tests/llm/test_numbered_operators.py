@@ -118,6 +118,14 @@ def test_ngram_classes(spark, documents, nothing, monkeypatch):
     assert ngram_join.linked(nothing).count() == 0
 
 
+def test_hot_shingles_are_those_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 0.5)
+    rows = [(i, BASE) for i in range(4)] + [(i, f"{prose(i, 30)} a shingle of every one") for i in range(10, 30)]
+    parts = spark.sparkContext.parallelize(rows, 6)     # the copies are a part of their own
+    named, hot = ngram_join._names_and_hot(spark.createDataFrame(parts, "documentId long, text string"), "bigint")
+    assert named.count() == 24 and len(hot) == 1
+
+
 def lines_kept(texts, run=line_dedup.RUN_LINES):
     seen, out = set(), []
     for text in texts:
