@@ -84,26 +84,44 @@ def _every_passage(documents: DataFrame, key: str, text: bool) -> DataFrame:
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of windows that an earlier passage of the same shard holds."""
+    """Ranges of windows that an earlier passage of the same shard holds.
+
+    Passages of smaller documentIds are in the automaton. Those of one documentId compare
+    their windows by place, as rows may share it: a window does not remove itself.
+    """
     for shard in sorted_groups(batches, 1):
         if shard.num_rows < 2:
             continue
         automaton = SuffixAutomaton()
         rows, starts = [], []
-        offsets = shard["start"].to_pylist()
-        for i, passage in enumerate(shard["passage"].to_pylist()):
-            words = passage.encode().split()
-            if i:
-                for end, size in enumerate(automaton.matching_lengths(words), 1):
-                    if size >= WINDOW_WORDS:
-                        rows.append(i)
-                        starts.append(offsets[i] + end - WINDOW_WORDS)
-            if i + 1 < shard.num_rows:
+        ids, offsets, passages = (shard[c].to_pylist() for c in ("documentId", "start", "passage"))
+        begin = 0
+        while begin < len(ids):
+            end = begin + 1
+            while end < len(ids) and ids[end] == ids[begin]:
+                end += 1
+            own = sorted(set(zip(offsets[begin:end], passages[begin:end])))
+            own = [(offset, passage.encode().split()) for offset, passage in own]
+            first = {}
+            for offset, words in own if len(own) > 1 else ():
+                for place in range(len(words) - WINDOW_WORDS + 1):
+                    window = tuple(words[place:place + WINDOW_WORDS])
+                    first[window] = min(first.get(window, offset + place), offset + place)
+            for offset, words in own:
+                lengths = automaton.matching_lengths(words) if begin else [0] * len(words)
+                for last, size in enumerate(lengths, 1):
+                    place = last - WINDOW_WORDS
+                    if size >= WINDOW_WORDS or place >= 0 and first.get(
+                            tuple(words[place:last]), offset + place) < offset + place:
+                        rows.append(begin)
+                        starts.append(offset + place)
+            for _, words in own if end < len(ids) else ():
                 automaton.add(words)
+            begin = end
         if rows:
-            ids = shard["documentId"].combine_chunks().take(pa.array(rows))
+            found = shard["documentId"].combine_chunks().take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(starts, pa.int32()), pa.array([1] * len(rows), pa.int32())],
+                [found, pa.array(starts, pa.int32()), pa.array([1] * len(rows), pa.int32())],
                 names=["documentId", "start", "windows"])
 
 

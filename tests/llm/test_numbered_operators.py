@@ -174,6 +174,18 @@ def test_substring_dedup(documents, nothing, monkeypatch, shard):
     assert substring_dedup.deduplicated(nothing).count() == 0
 
 
+@pytest.mark.parametrize("shard", [500, 1])
+def test_substring_dedup_keeps_rows_that_share_an_id(spark, monkeypatch, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", shard)
+    twice = " ".join(WORDS[20:50])
+    rows = [(1, BASE), (1, BASE), (2, "y " + " ".join(WORDS[5:])), (3, f"{twice} {twice}"),
+            (None, prose(50, 40)), (None, prose(50, 40)), (4, "z " + prose(50, 40))]
+    frame = spark.createDataFrame(rows, "documentId long, text string")
+    found = sorted((r.documentId or 0, r.nRemoved) for r in substring_dedup.deduplicated(frame).collect())
+    # a text that lies twice in a document goes there as a whole, as it is in document 1
+    assert found == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 55), (3, 60), (4, 40)]
+
+
 def test_decontamination(spark, documents, nothing):
     questions = spark.createDataFrame(
         [(1, " ".join(WORDS[5:30]), "x"), (2, prose(99, 20), "x"), (3, None, "x"), (4, "", "x"),
