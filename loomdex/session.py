@@ -25,18 +25,26 @@ def local_session(cores: int | str = 8, app_name: str = "loomdex") -> SparkSessi
     return spark
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several jobs read, so it is computed once.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share, in ``spark.checkpoint.dir``.
 
-    The files go to the shared folder the cluster names in ``spark.checkpoint.dir``.
     Where that is unset, a local master gets one in the warehouse folder, as in tests.
     """
-    context = rows.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = rows.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
+            shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several jobs read, so it is computed once.
+
+    The files go to the shared folder (see ``shared_folder``).
+    """
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
