@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,9 +19,13 @@ from loomdex.llm import (
     quality_classifier,
     quality_rules,
     substring_dedup,
+    token_files,
     url_filters,
 )
+from loomdex.session import shared_folder
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 #: Fixed values of the query: verdict, host and start of the path.
@@ -127,10 +132,18 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.col("repairedRole").alias("repaired_role"), "cost", "rendered")
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    store = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(_documents(spark, folder), BYTE_VOCABULARY, store)
+    return token_files.read(spark, store).select(
+        F.col("documentId").alias("doc_id"), "start", F.col("nTokens").alias("n_tokens"),
+        F.crc32("tokenIds").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe, op2_ngram_join, op3_line_dedup, op4_quality_classifier, op5_url_filters,
     op6_substring_dedup, op7_decontamination, op8_lm_scoring, op9_quality_rules,
-    op10_chat_formatting,
+    op10_chat_formatting, op11_token_files,
 )}
 _LINE_DEDUP = """
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
