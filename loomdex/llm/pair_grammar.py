@@ -12,26 +12,27 @@ from dataclasses import dataclass
 import numpy as np
 
 MIN_PAIRS = 4               # a pair is frequent if it stands at so many places of a shard
-LEAST_GAIN = 1 / 64         # rounds end when one shortens the sequence by less
+LEAST_GAIN = 1 / 32         # rounds end when one shortens the sequence by less
 _MAGIC = np.frombuffer(b"PAIRGRM1", "<u8")
 
 
 def _chosen(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places to replace, number of the rule at each place, pair of each rule)."""
-    ordered = np.sort(pairs)
+    order = np.argsort(pairs)
+    ordered = pairs[order]
     first = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
     counts = np.diff(np.concatenate([first, [len(ordered)]]))
-    often = counts >= MIN_PAIRS
-    known, counts = ordered[first[often]], counts[often]
-    none = len(known)
+    often = np.flatnonzero(counts >= MIN_PAIRS)
+    none = len(often)
     if not none:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    by_rank = np.lexsort((known, -counts))
-    rank = np.empty(none, np.int64)
-    rank[by_rank] = np.arange(none)
-    at = np.minimum(np.searchsorted(known, pairs), none - 1)
-    ranks = np.concatenate([[none], np.where(known[at] == pairs, rank[at], none), [none]])
+    known = ordered[first[often]]
+    by_rank = np.lexsort((known, -counts[often]))
+    rank = np.full(len(first), none)
+    rank[often[by_rank]] = np.arange(none)
+    ranks = np.full(len(pairs) + 2, none)
+    ranks[order + 1] = np.repeat(rank, counts)
     here, before, after = ranks[1:-1], ranks[:-2], ranks[2:]
     # Neighbours of one rank are a run of one symbol: there every other pair is taken.
     begins = np.where(here != before, np.arange(len(here)), 0)

@@ -22,21 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdex.llm.pair_grammar import Grammar
-from loomdex.llm.word_arrays import slices
+from loomdex.llm.word_arrays import slices, worker_cached
 
 END_ID = 0                  # closes every document
 SHARD_IDS = 1 << 18         # a shard is closed when it holds so many ids
-_REMEMBERED = 200_000       # pieces a task remembers the ids of
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SLICE_BYTES = 2 << 20      # of text that is cut at once
+_REMEMBERED = 500_000       # words that a worker remembers the ids of
+_OPENERS = ("\u0120", "\u010a")     # fixed values: how byte-level vocabularies write blank and line feed
+_ODD = re.compile(r"\s |\n\s| [^\S\n]|\s$")
 
 
 class PieceEncoder:
-    """Ids of whole texts by the published library, which sees each frequent piece once.
-
-    Where the tokenizer cuts words as byte-level vocabularies do, a single blank between
-    two visible characters always opens a new word with the blank in front. Texts are cut
-    there and pieces met before get the ids they had. Any other definition, and any text
-    that holds one of its special tokens, is encoded whole.
+    """Ids of whole texts by the published library, which sees each frequent word once.
+
+    Where the tokenizer cuts as byte-level vocabularies do, a single blank or line feed
+    between two visible characters always opens a new piece of text, and of its ids only
+    the first is one whose token begins with that character. Texts are cut there; words
+    met before get the ids they had, new ones are encoded in one string. Any other
+    definition, and any text that holds a special token or a longer run of white space
+    (but for one empty line), is encoded whole.
     """
 
     def __init__(self, definition: str) -> None:
@@ -53,23 +57,51 @@ class PieceEncoder:
             and not cut.get("add_prefix_space", True) and not made.get("normalizer")
             and model["type"] == "BPE" and not model.get("dropout"))
         self.special = [t["content"] for t in made.get("added_tokens", ())]
+        names = self.library.get_vocab()
+        self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.opens[[i for name, i in names.items() if name[:1] in _OPENERS]] = True
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4")
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words, each with the blank in front if it has no line feed there."""
+        ids = self._whole(["".join([w if w[0] == "\n" else " " + w for w in words] + [" x"])])[0]
+        ends = np.flatnonzero(self.opens[ids]).tolist()
+        if len(ends) != len(words) + 1:
+            raise ValueError("the definition joins words over white space")
+        raw = ids.tobytes()
+        self.known.update(zip(words, (raw[4 * a:4 * b] for a, b in zip(ends, ends[1:]))))
+
+    def _words(self, text: str) -> list[str] | None:
+        if (not self.cuts or any(s in text for s in self.special) or "\n\n\n" in text
+                or "\n\n " in text or text.endswith("\n\n")):
+            return None
+        words = text.replace("\n", " \n").split(" ")
+        return None if words[0][-1:].isspace() else words
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        whole = [not self.cuts or any(s in t for s in self.special) for t in texts]
-        pieces = [[t] if w else _CUT.split(t) for t, w in zip(texts, whole)]
-        openings = self._whole([p[0] for p in pieces])
+        cut = [self._words(text) for text in texts]
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        new = list({word for p in pieces for word in p[1:] if word not in self.known})
-        self.known.update(zip(new, self._whole([" " + word for word in new])))
+        new = set().union(*(words[1:] for words in cut if words)) - self.known.keys()
+        odd = {w for w in new if not w or w[-1].isspace() and w != "\n" or w[0].isspace() and (
+            w[0] != "\n" or w[1:2].isspace())} if _ODD.search(" ".join(new)) or "" in new else set()
+        # One empty line is two pieces, a single line feed at the end is one.
+        new.discard("\n")
+        if new - odd:
+            self._learn(list(new - odd))
+        self.known["\n"] = self._whole(["\n"])[0].tobytes()
+        for i, words in enumerate(cut) if odd else ():
+            if words and not odd.isdisjoint(words[1:]):
+                cut[i] = None
+        openings = self._whole([words[0] if words else t for words, t in zip(cut, texts)])
         get = self.known.__getitem__
-        return [first + b"".join(map(get, p[1:])) for first, p in zip(openings, pieces)]
+        return [ids.tobytes() + b"".join(map(get, words[1:] if words else ()))
+                for ids, words in zip(openings, cut)]
 
 
 def _definition(vocabulary: str) -> str:
@@ -109,7 +141,7 @@ def write(documents: DataFrame, vocabulary: str, path: str, end_id: int = END_ID
         T.StructField("content", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(definition.value)
+        encoder = worker_cached(("pieces", hash(definition.value)), lambda: PieceEncoder(definition.value))
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[Any, bytes]] = []
         part = shard = offset = n = 0
@@ -124,7 +156,7 @@ def write(documents: DataFrame, vocabulary: str, path: str, end_id: int = END_ID
                  pa.array([[len(h[1]) // 4 for h in held]], pa.list_(pa.int64())),
                  pa.array([Grammar.of(ids).to_bytes()], pa.binary())], names=out.names)
 
-        for piece, texts in slices(batches, 1):
+        for piece, texts in slices(batches, 1, _SLICE_BYTES):
             part = piece.column(2)[0].as_py()
             for i, ids in enumerate(encoder.encode([t or "" for t in texts])):
                 held.append((piece.column(0).slice(i, 1), ids + end))

@@ -127,14 +127,15 @@ class Words:
         return np.unique(windows[a:b - SHINGLE_WORDS + 1])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Pieces of the batches with about SLICE_BYTES of text each, and their texts."""
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES,
+           ) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Pieces of the batches with about ``most`` bytes of text each, and their texts."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().tolist()
         start = size = 0
         for i, n in enumerate(sizes):
             size += n
-            if size >= SLICE_BYTES or i + 1 == len(sizes):
+            if size >= most or i + 1 == len(sizes):
                 piece = batch.slice(start, i + 1 - start)
                 yield piece, piece.column(text).to_pylist()
                 start, size = i + 1, 0
