@@ -18,8 +18,14 @@ _MAGIC = np.frombuffer(b"PAIRGRM1", "<u8")
 
 def _chosen(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places to replace, number of the rule at each place, pair of each rule)."""
-    order = np.argsort(pairs)
-    ordered = pairs[order]
+    bits = len(pairs).bit_length()
+    if int(pairs.max()).bit_length() + bits < 64:   # sort values faster than places
+        ordered = np.sort(pairs << bits | np.arange(len(pairs)))
+        order = ordered & ((1 << bits) - 1)
+        ordered >>= bits
+    else:
+        order = np.argsort(pairs)
+        ordered = pairs[order]
     first = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
     counts = np.diff(np.concatenate([first, [len(ordered)]]))
     often = np.flatnonzero(counts >= MIN_PAIRS)
@@ -58,14 +64,16 @@ class Grammar:
         """Replace frequent pairs until a round gains too little."""
         symbols = ids.astype(np.int64)
         base = int(symbols.max()) + 1 if len(symbols) else 0
-        rules = [np.zeros(0, np.int64)]
+        rules = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         lengths = np.ones(0, np.int64)
         while len(symbols) > 1:
-            places, numbers, pairs = _chosen(symbols[:-1] << 32 | symbols[1:])
+            width = (base + len(lengths)).bit_length()
+            places, numbers, pairs = _chosen(symbols[:-1] << width | symbols[1:])
             if len(places) < max(1, LEAST_GAIN * len(symbols)):
                 break
             sizes = np.ones((2, len(pairs)), np.int64)
-            for side, part in enumerate((pairs >> 32, pairs & 0xFFFFFFFF)):
+            halves = pairs >> width, pairs & ((1 << width) - 1)
+            for side, part in enumerate(halves):
                 older = part >= base
                 sizes[side, older] = lengths[part[older] - base]
             symbols[places] = base + len(lengths) + numbers
@@ -73,9 +81,9 @@ class Grammar:
             stays[places + 1] = False
             symbols = symbols[stays]
             lengths = np.concatenate([lengths, sizes.sum(0)])
-            rules.append(pairs)
-        made = np.concatenate(rules)
-        return cls(base, made >> 32, made & 0xFFFFFFFF, lengths, symbols)
+            rules.append(halves)
+        left, right = (np.concatenate([r[side] for r in rules]) for side in (0, 1))
+        return cls(base, left, right, lengths, symbols)
 
     def to_bytes(self) -> bytes:
         """Little-endian: mark, base, rules, symbols (u64); left, right, lengths, symbols (u32)."""

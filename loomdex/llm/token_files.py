@@ -13,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 from typing import Any
 
 import numpy as np
@@ -29,6 +30,7 @@ SHARD_IDS = 1 << 18         # a shard is closed when it holds so many ids
 _SLICE_BYTES = 2 << 20      # of text that is cut at once
 _REMEMBERED = 500_000       # words that a worker remembers the ids of
 _OPENERS = ("\u0120", "\u010a")     # fixed values: how byte-level vocabularies write blank and line feed
+_SIGNS = ".,;:!?#*$%&|<>()\"]}"
 _ODD = re.compile(r"\s |\n\s| [^\S\n]|\s$")
 
 
@@ -67,13 +69,23 @@ class PieceEncoder:
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words, each with the blank in front if it has no line feed there."""
-        ids = self._whole(["".join([w if w[0] == "\n" else " " + w for w in words] + [" x"])])[0]
+        """Ids of words, each with the blank in front if it has no line feed there.
+
+        ASCII signs behind a Latin letter or digit are pieces of their own.
+        """
+        heads = [h if (h := w.rstrip(_SIGNS)) and h[-1] < "\u0250" and h[-1].isalnum() else w
+                 for w in words]
+        new = list(filterfalse(self.known.__contains__, set(heads)))
+        ids = self._whole(["".join([w if w[0] == "\n" else " " + w for w in new] + [" x"])])[0]
         ends = np.flatnonzero(self.opens[ids]).tolist()
-        if len(ends) != len(words) + 1:
+        if len(ends) != len(new) + 1:
             raise ValueError("the definition joins words over white space")
         raw = ids.tobytes()
-        self.known.update(zip(words, (raw[4 * a:4 * b] for a, b in zip(ends, ends[1:]))))
+        self.known.update(zip(new, (raw[4 * a:4 * b] for a, b in zip(ends, ends[1:]))))
+        tails = [w[len(h):] for w, h in zip(words, heads)]
+        signs = list(set(tails))
+        known = dict(zip(signs, (i.tobytes() for i in self._whole(signs))))
+        self.known.update((w, self.known[h] + known[t]) for w, h, t in zip(words, heads, tails) if t)
 
     def _words(self, text: str) -> list[str] | None:
         if (not self.cuts or any(s in text for s in self.special) or "\n\n\n" in text
@@ -87,7 +99,8 @@ class PieceEncoder:
         cut = [self._words(text) for text in texts]
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        new = set().union(*(words[1:] for words in cut if words)) - self.known.keys()
+        met = set().union(*(words[1:] for words in cut if words))
+        new = set(filterfalse(self.known.__contains__, met))
         odd = {w for w in new if not w or w[-1].isspace() and w != "\n" or w[0].isspace() and (
             w[0] != "\n" or w[1:2].isspace())} if _ODD.search(" ".join(new)) or "" in new else set()
         # One empty line is two pieces, a single line feed at the end is one.
