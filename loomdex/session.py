@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once and read from there.
+
+    A reader takes the columns it needs, and a lost executor costs the reading tasks only.
+    """
+    path = f"{shared_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several jobs read, so it is computed once.
 
