@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import (
     bpe,
+    centroid_clusters,
     chat_formatting,
     decontamination,
+    hard_negatives,
     line_dedup,
     lm_scoring,
     ngram_join,
@@ -140,10 +142,32 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
         F.crc32("tokenIds").alias("ids_crc32"))
 
 
+def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet").withColumnRenamed("vec_id", "chunkId")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """A vector's label is the document it comes from."""
+    chunks = _embeddings(spark, folder).withColumn("documentId", F.when(
+        F.col("chunkId") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mined(chunks, F.col("chunkId") % 100 == 0).select(
+        F.col("anchorId").alias("anchor_id"), F.col("positiveId").alias("positive_id"), "rank",
+        F.col("negativeId").alias("negative_id"), F.col("positiveScore").alias("positive_score"),
+        F.col("negativeScore").alias("negative_score"))
+
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    start = F.sha2(F.concat(F.lit("2:"), F.col("chunkId").cast("string")).cast("binary"), 256)
+    return centroid_clusters.clustered(_embeddings(spark, folder), start).select(
+        F.col("chunkId").alias("vec_id"), "cluster", "distance",
+        F.col("clusterInertia").alias("cluster_inertia"), "inertia",
+        F.col("centroidSha256").alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe, op2_ngram_join, op3_line_dedup, op4_quality_classifier, op5_url_filters,
     op6_substring_dedup, op7_decontamination, op8_lm_scoring, op9_quality_rules,
-    op10_chat_formatting, op11_token_files,
+    op10_chat_formatting, op11_token_files, op12_hard_negatives, op13_centroid_clusters,
 )}
 _LINE_DEDUP = """
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
