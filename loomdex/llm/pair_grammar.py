@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 MIN_PAIRS = 4               # a pair is frequent if it stands at so many places of a shard
-LEAST_GAIN = 1 / 32         # rounds end when one shortens the sequence by less
+LEAST_GAIN = 1 / 16         # rounds end when one shortens the sequence by less
 _MAGIC = np.frombuffer(b"PAIRGRM1", "<u8")
 
 

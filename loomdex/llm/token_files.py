@@ -28,7 +28,7 @@ from loomdex.llm.word_arrays import slices, worker_cached
 END_ID = 0                  # closes every document
 SHARD_IDS = 1 << 18         # a shard is closed when it holds so many ids
 _SLICE_BYTES = 2 << 20      # of text that is cut at once
-_REMEMBERED = 500_000       # words that a worker remembers the ids of
+_REMEMBERED = 300_000       # words of a generation; a worker remembers two
 _OPENERS = ("\u0120", "\u010a")     # fixed values: how byte-level vocabularies write blank and line feed
 _SIGNS = ".,;:!?#*$%&|<>()\"]}"
 _ODD = re.compile(r"\s |\n\s| [^\S\n]|\s$")
@@ -63,6 +63,7 @@ class PieceEncoder:
         self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
         self.opens[[i for name, i in names.items() if name[:1] in _OPENERS]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}   # words of the generation before
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4")
@@ -98,9 +99,13 @@ class PieceEncoder:
         """The ids of each text, little-endian unsigned 32-bit."""
         cut = [self._words(text) for text in texts]
         if len(self.known) > _REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         met = set().union(*(words[1:] for words in cut if words))
         new = set(filterfalse(self.known.__contains__, met))
+        if self.older:
+            again = list(filter(self.older.__contains__, new))
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            new.difference_update(again)
         odd = {w for w in new if not w or w[-1].isspace() and w != "\n" or w[0].isspace() and (
             w[0] != "\n" or w[1:2].isspace())} if _ODD.search(" ".join(new)) or "" in new else set()
         # One empty line is two pieces, a single line feed at the end is one.
