@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, slices, worker_cached
+from loomdex.session import checkpointed
 
 MIN_SIMILARITY = 0.75
 RADIUS = 20                 # of 64 bits; similarity 0.75 lies 11 bits apart on average
@@ -47,10 +48,20 @@ def _near(windows: np.ndarray, item: int) -> np.ndarray:
     return some & (np.sum(each, axis=0) <= RADIUS)
 
 
+def _shingle_set(words: Words, row: int, windows: dict[int, np.ndarray]) -> np.ndarray:
+    """Distinct shingles of a question; fewer than five words are one of their length."""
+    g = min(SHINGLE_WORDS, int(words.counts[row]))
+    return np.unique(words.row_windows(row, windows[g], g)) if g else np.zeros(0, np.uint64)
+
+
 class QuestionIndex:
-    """Shingles, weights and fingerprints of a block of questions."""
+    """Shingles, weights and fingerprints of a block of questions.
 
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
+    ``total`` is the number of all questions and ``shared`` how many of them hold a shingle,
+    for those that more than one holds: weights do not depend on how questions are dealt out.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], total: int, shared: dict[int, int]) -> None:
         words = Words(texts, letters=True)
         self.ids, self.sizes = ids, words.counts
         #: Questions of fewer than five words are one shingle of their own length.
@@ -58,14 +69,13 @@ class QuestionIndex:
         windows = {g: words.windows(g) for g in self.grams}
         sets, self.owners = [], {}
         for i, n in enumerate(words.counts):
-            g = min(SHINGLE_WORDS, int(n))
-            own = np.unique(words.row_windows(i, windows[g], g)) if g else np.zeros(0, np.uint64)
+            own = _shingle_set(words, i, windows)
             sets.append(own)
             for shingle in own.tolist():
                 self.owners.setdefault(shingle, []).append(i)
         #: Shingles of many questions weigh less; unknown ones weigh as one question's.
-        self.top = float(np.log1p(len(ids)))
-        self.weights = {s: float(np.log1p(len(ids) / len(o))) for s, o in self.owners.items()}
+        self.top = float(np.log1p(total))
+        self.weights = {s: float(np.log1p(total / shared.get(s, 1))) for s in self.owners}
         self.known = np.sort(np.array(list(self.owners), np.uint64))
         self.sets = [dict.fromkeys(s.tolist()) for s in sets]
         self.totals = [sum(self.weights[x] for x in s) for s in self.sets]
@@ -139,8 +149,28 @@ class QuestionIndex:
 
 def _indexes(questions: DataFrame) -> list:
     """Broadcast question blocks of bounded size; they are collected one after the other."""
-    rows = questions.select("id", "question").dropna(subset=["question"]).distinct()
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("question") + 16), F.lit(0))).first()[0]
+    rows = questions.select("id", "question").dropna(subset=["question"]).distinct().withColumn(
+        "item", F.xxhash64("id", "question"))
+    total = rows.count()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in slices(batches, 1):
+            words = Words(texts, letters=True)
+            sizes = {int(min(SHINGLE_WORDS, n)) for n in words.counts if n}
+            windows = {g: words.windows(g) for g in sizes}
+            sets = [_shingle_set(words, i, windows) for i in range(len(texts))]
+            row = np.repeat(np.arange(len(texts)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(2).take(pa.array(row)),
+                 pa.array(np.concatenate(sets).astype(np.uint64).view(np.int64))], names=["item", "shingle"])
+
+    # Of all questions: how many hold a shingle, where that is more than one.
+    held = rows.mapInArrow(shingled, "item long, shingle long")
+    often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(held.join(often, "shingle").groupBy("item").agg(
+        F.collect_list(F.struct("shingle", "n")).alias("shared")), "item", "left")
+    rows = checkpointed(rows)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("question") + 16 + 16 * F.coalesce(F.size("shared"), F.lit(0))), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("id", "question"), F.lit(blocks))
     context = questions.sparkSession.sparkContext
@@ -148,14 +178,16 @@ def _indexes(questions: DataFrame) -> list:
     for b in range(blocks):
         # Sorted, so that all tasks and runs number the questions alike.
         held = rows.filter(block == b).orderBy("id", "question").collect()
-        out.append(context.broadcast(([r["id"] for r in held], [r["question"] for r in held])))
+        shared = {s["shingle"] & (1 << 64) - 1: s["n"] for r in held for s in r["shared"] or ()}
+        out.append(context.broadcast(
+            ([r["id"] for r in held], [r["question"] for r in held], total, shared)))
     return out
 
 
 def _index(shared) -> QuestionIndex:
-    ids, texts = shared.value
-    return worker_cached(("questions", hash((tuple(map(str, ids)), tuple(texts)))),
-                         lambda: QuestionIndex(ids, texts))
+    ids, texts, total, held = shared.value
+    key = hash((tuple(map(str, ids)), tuple(texts), total, frozenset(held.items())))
+    return worker_cached(("questions", key), lambda: QuestionIndex(ids, texts, total, held))
 
 
 def contaminated(documents: DataFrame, questions: DataFrame) -> DataFrame:
@@ -166,7 +198,9 @@ def contaminated(documents: DataFrame, questions: DataFrame) -> DataFrame:
     do not count. A match is a window of the question's length (of the text's, if that is
     shorter) whose weighted similarity is MIN_SIMILARITY or more; the best one is reported.
     Null and empty texts and questions match nothing; repeated document rows are reported
-    each, repeated question rows once.
+    each, repeated question rows once. Windows whose fingerprint lies beyond RADIUS
+    are not compared, so a near copy may be missed (in tests none was). How many blocks
+    the questions are read in does not change the result.
     """
     rows = documents.select("documentId", "text")
     out = T.StructType([

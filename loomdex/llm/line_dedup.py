@@ -24,6 +24,10 @@ def _lines() -> Column:
     return F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
 
+def _row() -> Column:
+    return F.xxhash64("documentId", "text")
+
+
 def _has_words(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANKS)) != ""
 
@@ -47,12 +51,13 @@ def _windows(run_lines: int) -> Column:
 
 
 def repeated_windows(documents: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
-    """documentId and start (counted in lines with words) of every window to delete.
+    """row and start (counted in lines with words) of every window to delete.
 
-    A window goes if the same ``run_lines`` lines also start earlier: in a document with a
-    smaller documentId, or further up in the same document. Lines are compared without
-    blanks at their ends; blank lines are not counted. Rows that share a documentId are
-    copies of one document and do not delete each other.
+    row is the hash of documentId and text. A window goes if the same ``run_lines`` lines
+    also start earlier: under a smaller documentId, or further up under the same one, be it
+    in another row. Lines are compared without blanks at their ends; blank lines are not
+    counted. Windows at the same place of rows that share a documentId do not delete each
+    other. A null documentId is smaller than any.
 
     Every step is a sum, minimum or equality, so that a line or passage that fills a third
     of the table combines before the shuffle or is split by the skewed join.
@@ -60,8 +65,8 @@ def repeated_windows(documents: DataFrame, run_lines: int = RUN_LINES) -> DataFr
     hashes = F.transform(F.filter(_lines(), _has_words),
                          lambda line: F.xxhash64(F.btrim(line, F.lit(_BLANKS)).cast("binary")))
     windows = (
-        documents.select("documentId", hashes.alias("hashes"))
-        .select("documentId", F.inline(_windows(run_lines)))
+        documents.select("documentId", _row().alias("row"), hashes.alias("hashes"))
+        .select("documentId", "row", F.inline(_windows(run_lines)))
     )
     place = F.struct("documentId", "place")
     shared = (
@@ -76,7 +81,7 @@ def repeated_windows(documents: DataFrame, run_lines: int = RUN_LINES) -> DataFr
     )
     return (
         candidates.join(first, ["content", "check"])
-        .filter(~F.col("first").eqNullSafe(start)).select("documentId", "start").distinct()
+        .filter(~F.col("first").eqNullSafe(start)).select("row", "start").distinct()
     )
 
 
@@ -89,12 +94,14 @@ def deduplicated(documents: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     replaced. Texts that lose nothing stay as they are, null and empty ones too. An exact
     copy of a document of several lines loses all of them.
     """
-    starts = repeated_windows(documents, run_lines).groupBy(
-        F.col("documentId").alias("_id")).agg(F.collect_list("start").alias("_starts"))
-    rows = documents.drop("nLines", "nRemovedLines").join(
-        starts, F.col("documentId").eqNullSafe(F.col("_id")), "left")
+    starts = repeated_windows(documents.select("documentId", "text"), run_lines).groupBy("row").agg(
+        F.collect_list("start").alias("starts"))
+    # The columns of the input travel in one struct, so that no name of theirs can clash.
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("input"), "text",
+        _row().alias("row")).join(starts, "row", "left")
     removed = F.array_distinct(F.flatten(F.transform(
-        F.coalesce("_starts", F.array().cast("array<int>")),
+        F.coalesce("starts", F.array().cast("array<int>")),
         lambda s: F.sequence(s, s + run_lines - 1))))
 
     def without(lines: Column) -> Column:
@@ -105,9 +112,9 @@ def deduplicated(documents: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
         return F.struct(
             F.size(worded).cast("long").alias("nLines"), F.array_join(kept, "\n").alias("text"))
 
-    made = rows.withColumn("_made", let(_lines(), without))
+    made = rows.withColumn("made", let(_lines(), without))
     others = [c for c in documents.columns if c not in ("nLines", "nRemovedLines")]
     return made.select(
-        *[F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.col("_made.text"))
-          .alias("text") if c == "text" else F.col(c) for c in others],
-        F.col("_made.nLines").alias("nLines"), F.size(removed).cast("long").alias("nRemovedLines"))
+        *[F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.col("made.text"))
+          .alias("text") if c == "text" else F.col("input").getField(c).alias(c) for c in others],
+        F.col("made.nLines").alias("nLines"), F.size(removed).cast("long").alias("nRemovedLines"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomdex.llm.labelled_rows import MAX_LABELLED, labelled_features
+from loomdex.llm.labelled_rows import MAX_LABELLED, fitted
 from loomdex.llm.text_features import hashed_rows, shape_rows
 from loomdex.llm.word_arrays import Words, slices
 
@@ -38,6 +38,10 @@ class NeighbourModel:
     vectors: np.ndarray         # of the labelled documents, unit length
     quality: np.ndarray
 
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Plain arrays: a broadcast of the class would need this package in the workers."""
+        return self.centre, self.projection, self.vectors, self.quality
+
     def latent(self, terms: np.ndarray) -> np.ndarray:
         out = (terms - self.centre) @ self.projection
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -68,13 +72,11 @@ def _decomposed(rows: np.ndarray, dimensions: int) -> np.ndarray:
     return (basis @ turn.T)[:, :dimensions]
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> NeighbourModel:
-    """Fit on at most ``max_labelled`` rows of ``labels`` (documentId, quality 0/1)."""
-    terms, quality, _ = labelled_features(documents, labels, _terms, max_labelled)
+def _fit(terms: np.ndarray, quality: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(terms):
         none = np.zeros((0, DIMENSIONS), np.float32)
-        return NeighbourModel(np.zeros(terms.shape[1], np.float32),
-                              np.zeros((terms.shape[1], DIMENSIONS), np.float32), none, quality)
+        return (np.zeros(terms.shape[1], np.float32),
+                np.zeros((terms.shape[1], DIMENSIONS), np.float32), none, quality)
     hashed = 2 * TERM_COLUMNS
     weight = np.log(1 / ((terms > 0).mean(0) + 1e-3))
     weight[hashed:] = 1 / (terms[:, hashed:].std(0) + 1e-6)
@@ -85,7 +87,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     model = NeighbourModel(centre, (weight[:, None] * axes).astype(np.float32),
                            np.zeros((0, 0), np.float32), quality)
     model.vectors = model.latent(terms)
-    return model
+    return model.parts()
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> NeighbourModel:
+    """Fit on at most ``max_labelled`` rows of ``labels`` (documentId, quality 0/1)."""
+    return NeighbourModel(*fitted(documents, labels, _terms, _fit, max_labelled))
 
 
 def score(documents: DataFrame, model: NeighbourModel) -> DataFrame:
@@ -96,14 +103,15 @@ def score(documents: DataFrame, model: NeighbourModel) -> DataFrame:
     like a text without terms. Repeated rows stay; equal texts get equal scores.
     """
     rows = documents.select("documentId", "text")
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model.parts())
     out = T.StructType([T.StructField("documentId", rows.schema["documentId"].dataType),
                         T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = NeighbourModel(*shared.value)
         for piece, texts in slices(batches, 1):
             for at in range(0, len(texts), 256):
-                scores = shared.value.score(_terms(Words(texts[at:at + 256])))
+                scores = model.score(_terms(Words(texts[at:at + 256])))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0).slice(at, 256), pa.array(scores, pa.float64())],
                     names=["documentId", "score"])

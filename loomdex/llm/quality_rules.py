@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomdex.llm.labelled_rows import MAX_LABELLED, labelled_features
+from loomdex.llm.labelled_rows import MAX_LABELLED, fitted
 from loomdex.llm.text_features import hashed_rows
 from loomdex.llm.word_arrays import Words, slices
 
@@ -40,6 +40,10 @@ class LogisticModel:
     slope: float        # calibration: sigmoid(slope * margin + shift)
     shift: float
 
+    def parts(self) -> tuple:
+        """Plain values: a broadcast of the class would need this package in the workers."""
+        return self.weights, self.bias, self.slope, self.shift
+
     def probability(self, rows: np.ndarray) -> np.ndarray:
         margin = rows @ self.weights + self.bias
         return _sigmoid(self.slope * margin.astype(np.float64) + self.shift)
@@ -49,10 +53,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _regression(rows: np.ndarray, quality: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias; both classes weigh the same."""
-    share = np.clip(quality.mean(), 1e-6, 1 - 1e-6)
-    each = np.where(quality == 1, 0.5 / share, 0.5 / (1 - share)) / len(quality)
+def _regression(rows: np.ndarray, quality: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias from the rows that are ``used``; both classes weigh the same."""
+    share = np.clip(quality[used].mean(), 1e-6, 1 - 1e-6)
+    each = used * np.where(quality == 1, 0.5 / share, 0.5 / (1 - share)) / used.sum()
     weights, speed = np.zeros(rows.shape[1], np.float32), np.zeros(rows.shape[1], np.float32)
     bias = bias_speed = 0.0
     for _ in range(_STEPS):
@@ -77,22 +81,26 @@ def _calibrated(margins: np.ndarray, quality: np.ndarray) -> tuple[float, float]
     return max(float(at[0]), 1e-3), float(at[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LogisticModel | None:
-    """Fit on at most ``max_labelled`` rows of ``labels`` (documentId, quality 0/1).
-
-    None where fewer than two classes are labelled; then only the fixed limits decide.
-    """
-    rows, quality, fold = labelled_features(documents, labels, _ngrams, max_labelled)
+def _fit(rows: np.ndarray, quality: np.ndarray, fold: np.ndarray) -> tuple | None:
     if len(set(quality.tolist())) < 2:
         return None
     margins = np.zeros(len(quality))
     for f in range(5):
         out = fold == f
         if out.any() and len(set(quality[~out].tolist())) == 2:
-            weights, bias = _regression(rows[~out], quality[~out])
+            weights, bias = _regression(rows, quality, ~out)
             margins[out] = rows[out] @ weights + bias
-    weights, bias = _regression(rows, quality)
-    return LogisticModel(weights, bias, *_calibrated(margins, quality))
+    weights, bias = _regression(rows, quality, np.ones(len(quality), bool))
+    return weights, bias, *_calibrated(margins, quality)
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LogisticModel | None:
+    """Fit on at most ``max_labelled`` rows of ``labels`` (documentId, quality 0/1).
+
+    None where fewer than two classes are labelled; then only the fixed limits decide.
+    """
+    found = fitted(documents, labels, _ngrams, _fit, max_labelled)
+    return found and LogisticModel(*found)
 
 
 def signals(words: Words) -> dict[str, np.ndarray]:
@@ -153,7 +161,7 @@ def judged(documents: DataFrame, model: LogisticModel | None) -> DataFrame:
     words and fail the base rule. Rows map to rows; equal texts get equal verdicts.
     """
     rows = documents.select("documentId", "text")
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model and model.parts())
     counts = ("nWords", "wordChars", "nSymbols", "nDupLines", "nRepeatWords")
     out = T.StructType([
         T.StructField("documentId", rows.schema["documentId"].dataType),
@@ -163,8 +171,9 @@ def judged(documents: DataFrame, model: LogisticModel | None) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value and LogisticModel(*shared.value)
         for piece, texts in slices(batches, 1):
-            found, failed, probability, kept = _verdicts(texts, shared.value)
+            found, failed, probability, kept = _verdicts(texts, model)
             if probability is None:
                 probability = pa.nulls(len(texts), pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -176,11 +185,12 @@ def judged(documents: DataFrame, model: LogisticModel | None) -> DataFrame:
 
 def kept(documents: DataFrame, model: LogisticModel | None) -> DataFrame:
     """The document rows, with all their columns, that ``judged`` keeps; nothing is shuffled."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model and model.parts())
     place = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value and LogisticModel(*shared.value)
         for piece, texts in slices(batches, place):
-            yield piece.filter(pa.array(_verdicts(texts, shared.value)[3]))
+            yield piece.filter(pa.array(_verdicts(texts, model)[3]))
 
     return documents.mapInArrow(run, documents.schema)

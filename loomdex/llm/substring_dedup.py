@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.partitions import IdFilter, sorted_groups
@@ -60,7 +60,7 @@ def _fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def _every_passage(documents: DataFrame, key: str, text: bool) -> DataFrame:
-    """fingerprint, documentId, start, windows; and the content's hash, or its text."""
+    """fingerprint, documentId, row, start, windows; and the content's hash, or its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches, 1):
             words = Words(texts)
@@ -76,11 +76,12 @@ def _every_passage(documents: DataFrame, key: str, text: bool) -> DataFrame:
                 content = pa.array(words.ranges(first, first + counts + WINDOW_WORDS - 1).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(prints.astype(np.int64)), piece.column(0).take(pa.array(row)),
-                 pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), content],
-                names=["fingerprint", "documentId", "start", "windows", "content"])
+                 piece.column(2).take(pa.array(row)), pa.array(starts.astype(np.int32)),
+                 pa.array(counts.astype(np.int32)), content],
+                names=["fingerprint", "documentId", "row", "start", "windows", "content"])
 
-    return documents.mapInArrow(run, f"fingerprint long, documentId {key}, start int, windows int, "
-                                     f"content {'string' if text else 'long'}")
+    return documents.mapInArrow(run, f"fingerprint long, documentId {key}, row long, start int, "
+                                     f"windows int, content {'string' if text else 'long'}")
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,60 +95,65 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         automaton = SuffixAutomaton()
         rows, starts = [], []
-        ids, offsets, passages = (shard[c].to_pylist() for c in ("documentId", "start", "passage"))
+        ids, numbers, offsets, passages = (
+            shard[c].to_pylist() for c in ("documentId", "row", "start", "passage"))
         begin = 0
         while begin < len(ids):
             end = begin + 1
             while end < len(ids) and ids[end] == ids[begin]:
                 end += 1
-            own = sorted(set(zip(offsets[begin:end], passages[begin:end])))
-            own = [(offset, passage.encode().split()) for offset, passage in own]
+            holders: dict[tuple[int, str], set[int]] = {}
+            for i in range(begin, end):
+                holders.setdefault((offsets[i], passages[i]), set()).add(numbers[i])
+            own = [(offset, passage.encode().split(), holders[offset, passage])
+                   for offset, passage in sorted(holders)]
             first = {}
-            for offset, words in own if len(own) > 1 else ():
+            for offset, words, _ in own if len(own) > 1 else ():
                 for place in range(len(words) - WINDOW_WORDS + 1):
                     window = tuple(words[place:place + WINDOW_WORDS])
                     first[window] = min(first.get(window, offset + place), offset + place)
-            for offset, words in own:
+            for offset, words, held in own:
                 lengths = automaton.matching_lengths(words) if begin else [0] * len(words)
                 for last, size in enumerate(lengths, 1):
                     place = last - WINDOW_WORDS
                     if size >= WINDOW_WORDS or place >= 0 and first.get(
                             tuple(words[place:last]), offset + place) < offset + place:
-                        rows.append(begin)
-                        starts.append(offset + place)
-            for _, words in own if end < len(ids) else ():
+                        rows.extend(held)
+                        starts.extend([offset + place] * len(held))
+            for _, words, _ in own if end < len(ids) else ():
                 automaton.add(words)
             begin = end
         if rows:
-            found = shard["documentId"].combine_chunks().take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [found, pa.array(starts, pa.int32()), pa.array([1] * len(rows), pa.int32())],
-                names=["documentId", "start", "windows"])
+                [pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array([1] * len(rows), pa.int32())],
+                names=["row", "start", "windows"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per window of the passages."""
     for batch in batches:
         rows, starts, texts = [], [], []
-        offsets = batch.column(1).to_pylist()
-        for i, passage in enumerate(batch.column(2).to_pylist()):
+        offsets = batch.column(2).to_pylist()
+        for i, passage in enumerate(batch.column(3).to_pylist()):
             words = passage.encode().split()
             for j in range(len(words) - WINDOW_WORDS + 1):
                 rows.append(i)
                 starts.append(offsets[i] + j)
                 texts.append(b" ".join(words[j:j + WINDOW_WORDS]).decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()),
-             pa.array(texts, pa.string())], names=["documentId", "start", "window"])
+            [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)),
+             pa.array(starts, pa.int32()), pa.array(texts, pa.string())],
+            names=["documentId", "row", "start", "window"])
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
-    """documentId, start and windows: ranges of windows whose words also start earlier.
+    """row, start and windows: ranges of windows whose words also start earlier.
 
-    Earlier means a smaller documentId, or the same document and a smaller start. Rows
-    that share a documentId are copies of one document and do not remove each other.
+    row is the hash of documentId and text. Earlier means a smaller documentId, or the same
+    one and a smaller start, be it in another row. Windows that start at the same word of
+    rows that share a documentId do not remove each other.
     """
-    documents = documents.select("documentId", "text")
+    documents = documents.select("documentId", "text", _row().alias("row"))
     key = documents.schema["documentId"].dataType.simpleString()
     often = _fingerprints(documents).groupBy("fingerprint").agg(F.sum("n").alias("n")).filter("n > 1")
     # Fingerprint and content are hashes of different words, so that both name the passage.
@@ -160,7 +166,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     copies = (
         passages.join(contents.filter(~F.col("first").eqNullSafe(F.col("last")))
                       .select("fingerprint", "content", "first"), ["fingerprint", "content"])
-        .filter(~F.col("first").eqNullSafe(at)).select("documentId", "start", "windows"))
+        .filter(~F.col("first").eqNullSafe(at)).select("row", "start", "windows"))
     several = contents.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("different")).filter(
         "different > 1")
     heads = checkpointed(contents.join(several, "fingerprint").select(
@@ -169,36 +175,41 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     texts = _every_passage(documents, key, True).withColumn(
         "head", F.xxhash64("fingerprint", "documentId", "start")).drop("windows")
     firsts = IdFilter(heads.select("head"), FILTER_BITS).keep(texts, "head").select(
-        "head", "fingerprint", F.col("content").alias("passage"), "documentId", "start",
+        "head", "fingerprint", F.col("content").alias("passage"), "documentId", "row", "start",
     ).join(heads.select("head", "different"), "head")
     streamed = (
         firsts.filter(F.col("different") <= SHARD_PASSAGES)
-        .select("fingerprint", "documentId", "start", "passage")
+        .select("fingerprint", "documentId", "row", "start", "passage")
         .repartition("fingerprint").sortWithinPartitions("fingerprint", "documentId", "start")
-        .mapInArrow(_streamed, f"documentId {key}, start int, windows int"))
+        .mapInArrow(_streamed, "row long, start int, windows int"))
     # Common runs of words: equal windows combine before the shuffle.
     split = (
-        firsts.filter(F.col("different") > SHARD_PASSAGES).select("documentId", "start", "passage")
-        .mapInArrow(_split, f"documentId {key}, start int, window string")
+        firsts.filter(F.col("different") > SHARD_PASSAGES).select("documentId", "row", "start", "passage")
+        .mapInArrow(_split, f"documentId {key}, row long, start int, window string")
         .withColumn("window", F.sha2("window", 256)))
     earliest = split.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(
         ~F.col("first").eqNullSafe(F.col("last"))).select("window", "first")
     later = split.join(earliest, "window").filter(~F.col("first").eqNullSafe(at)).select(
-        "documentId", "start", F.lit(1).alias("windows"))
+        "row", "start", F.lit(1).alias("windows"))
     return copies.unionByName(streamed).unionByName(later)
 
 
+def _row() -> Column:
+    return F.xxhash64("documentId", "text")
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
     """documentId, nWords, nRemoved (long) and keptText of every document.
 
     ``documents``: document records (``documentId`` of any ordered type, ``text``); other
     columns are ignored. Words are runs without ASCII white space, unchanged. keptText has
     the words that no removed window covers, joined by one blank. Null and empty texts
-    have no words. All windows are judged on the input.
+    have no words. All windows are judged on the input. Rows that share a documentId (null
+    is smaller than any) lose each what ``repeated_windows`` says of that row.
     """
-    documents = documents.select("documentId", "text")
+    documents = documents.select("documentId", "text", _row().alias("row"))
     key = documents.schema["documentId"].dataType.simpleString()
-    ranges = checkpointed(repeated_windows(documents).groupBy("documentId").agg(
+    ranges = checkpointed(repeated_windows(documents).groupBy("row").agg(
         F.collect_list(F.struct("start", "windows")).alias("ranges")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +231,11 @@ def deduplicated(documents: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(kept, pa.string())], names=["documentId", "nWords", "nRemoved", "keptText"])
 
-    found = IdFilter(ranges.select("documentId"))
+    found = IdFilter(ranges.select("row"))
     spans = ranges.schema["ranges"].dataType
-    touched = found.keep(documents, "documentId").join(ranges, "documentId", "left").select(
+    touched = found.keep(documents, "row").join(ranges, "row", "left").select(
         "documentId", "text", "ranges")
-    others = found.keep(documents, "documentId", met=False).withColumn(
-        "ranges", F.lit(None).cast(spans))
+    others = found.keep(documents, "row", met=False).select(
+        "documentId", "text", F.lit(None).cast(spans).alias("ranges"))
     out = f"documentId {key}, nWords long, nRemoved long, keptText string"
     return touched.mapInArrow(run, out).unionByName(others.mapInArrow(run, out))

@@ -63,6 +63,10 @@ class Level:
     hashes: int
     number: int
 
+    def parts(self) -> tuple:
+        """Plain values: a broadcast of the class would need this package in the workers."""
+        return self.bits, self.size, self.hashes, self.number
+
     def places(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         salt = np.uint64(self.number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         first, step = mixed(a.view(np.uint64) + salt), mixed(b.view(np.uint64) + salt) | np.uint64(1)
@@ -109,11 +113,12 @@ def _level(rows: DataFrame, count: int, others: int, number: int) -> Level:
 
 
 def _passing(rows: DataFrame, level: Level) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(level)
+    shared = rows.sparkSession.sparkContext.broadcast(level.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = Level(*shared.value)
         for batch in batches:
-            found = shared.value.has(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            found = level.has(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield batch.filter(pa.array(found))
 
     return rows.mapInArrow(run, rows.schema)
@@ -163,7 +168,8 @@ def verdicts(documents: DataFrame, rules: DataFrame) -> DataFrame:
     of_rule = [m.alias(n) for m, n in zip(_marks(F.col("rule")), "ab")]
     listed = cascade(rules.select(*of_rule), universe)
     blocked = cascade(rules.filter("verdict = 'block'").select(*of_rule), universe)
-    shared = rows.sparkSession.sparkContext.broadcast((listed, blocked))
+    shared = rows.sparkSession.sparkContext.broadcast(
+        tuple([level.parts() for level in levels] for levels in (listed, blocked)))
     marks = [F.transform("keys", lambda k: _marks(k)[0]).alias("a"),
              F.transform("keys", lambda k: _marks(k)[1]).alias("b")]
     out = T.StructType([
@@ -171,7 +177,7 @@ def verdicts(documents: DataFrame, rules: DataFrame) -> DataFrame:
         *[T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, blocked = shared.value
+        listed, blocked = ([Level(*parts) for parts in levels] for levels in shared.value)
         for batch in batches:
             names, first, second = (batch.column(i) for i in (3, 4, 5))
             row = np.asarray(pc.list_parent_indices(names))

@@ -358,3 +358,69 @@ def test_language_models_count_every_word_and_pair(spark):
         for r, pair in zip(found, pairs, strict=True):
             expected = pair if pair[0] is None else pytest.approx(pair, rel=1e-9)
             assert [r.targetLoss, r.backgroundLoss] == expected, r.documentId
+
+
+def test_rows_that_share_an_id_lose_their_own_repeats_only(spark):
+    passage, own, more = prose(40, 30), prose(41, 60), prose(42, 200)
+    rows = [(1, passage), (2, prose(43, 10)), (2, own + " " + passage), (2, more + " " + passage),
+            (2, more + " " + passage), (None, passage), (3, own)]
+    frame = spark.createDataFrame(rows, "documentId long, text string")
+    found = substring_dedup.deduplicated(frame).collect()
+    # null is smaller than any id, so that row has the passage first
+    assert sorted((r.documentId or -1, r.keptText) for r in found) == sorted([
+        (-1, passage), (1, ""), (2, rows[1][1]), (2, own), (2, more), (2, more), (3, "")])
+
+
+def test_line_rows_that_share_an_id_and_clashing_names(spark):
+    names = ["row", "start", "starts", "made", "input", "hashes", "_id", "_starts", "_made", "place"]
+    rows = [(1, "a\nb\nc"), (2, "x\ny\nz"), (2, "q\na\nb"), (None, "k\nl"), (3, "k\nl\nm"), (4, None)]
+    frame = spark.createDataFrame(
+        [(i, t, *names) for i, t in rows],
+        "documentId long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = line_dedup.deduplicated(frame)
+    assert found.columns == [*frame.columns, "nLines", "nRemovedLines"]
+    assert sorted((r.documentId or -1, r.text or "") for r in found.collect()) == [
+        (-1, "k\nl"), (1, "a\nb\nc"), (2, "q"), (2, "x\ny\nz"), (3, "m"), (4, "")]
+    assert all([r[n] for n in names] == names for r in found.collect())
+
+
+def weighted_similarities(documents, questions):
+    """Per pair the best weighted Jaccard similarity of a window of the question's length."""
+    cut = lambda text: re.findall("[a-z0-9]+", (text or "").lower())
+    sets = lambda words: {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+    held = Counter(s for _, q in questions for s in sets(cut(q)))
+    weight = lambda shingles: sum(np.log1p(len(questions) / held.get(s, 1)) for s in shingles)
+    best = {}
+    for d, text in documents:
+        words = cut(text)
+        for q, question in questions:
+            own, n = sets(cut(question)), len(cut(question))
+            for i in range(max(1, len(words) - n + 1)):
+                window = sets(words[i:i + n])
+                if both := own & window:
+                    found = weight(both) / weight(own | window)
+                    best[d, q] = max(best.get((d, q), 0.0), found)
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [3000, decontamination.BLOCK_BYTES])
+def test_decontamination_of_near_copies_in_any_number_of_blocks(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(8)
+    common = prose(50, 6)
+    questions = [(f"q{i}", prose(100 + i, 24) + " " + common) for i in range(12)]
+    documents = []
+    for i, (_, question) in enumerate(questions):
+        words = question.split()
+        for changed in range(3):
+            copy = list(words)
+            for place in rng.sample(range(len(copy)), changed):
+                copy[place] = "changed"
+            documents.append((10 * i + changed, prose(200 + i, 20) + " " + " ".join(copy) + " " + prose(300 + i, 9)))
+    documents += [(900, common), (901, None), (902, prose(60, 300))]
+    found = decontamination.contaminated(
+        spark.createDataFrame(documents, "documentId long, text string"),
+        spark.createDataFrame(questions, "id string, question string"))
+    best = {k: v for k, v in weighted_similarities(documents, questions).items() if v >= 0.75}
+    assert {(r.documentId, r.id): r.similarity for r in found.collect()} == pytest.approx(best)
+    assert 12 < len(best) < 36
