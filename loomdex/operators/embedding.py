@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from loomdex import fixed_values as fv
 from loomdex.functions.text import is_blank
 from loomdex.functions.vectors import HASH_BUCKETS, Embedder, hash_bucket, terms
+from loomdex.operators.ordering import numbered
 from loomdex.schemas import VECTOR
 
 
@@ -114,7 +115,8 @@ def hashed_terms(chunks: DataFrame, id_col: str = "chunkId", text: str = "text",
 def batch_labels(chunks: DataFrame, batch_size: int = fv.EMBED_BATCH) -> DataFrame:
     """One row per embedding batch with the range of chunk numbers it covers.
 
-    The ranges follow from the row count alone, so nothing is numbered or sorted.
+    The ranges follow from the row count alone, so nothing is numbered or sorted;
+    ``batch_members`` tells which chunks a batch held.
     """
     span = 1_000_000  # batches per outer step; keeps each sequence array small
     total = chunks.agg(F.count(F.lit(1)).alias("n_chunks")).withColumn(
@@ -134,6 +136,23 @@ def batch_labels(chunks: DataFrame, batch_size: int = fv.EMBED_BATCH) -> DataFra
     )
 
 
+def batch_members(chunks: DataFrame, batch_size: int = fv.EMBED_BATCH,
+                  order: Sequence[str] = ("documentId", "chunkIndex")) -> DataFrame:
+    """batch, n_batches, first_chunk, last_chunk and chunkIds (in order) of every batch.
+
+    Batches are cut from the chunks in ``order``, numbered from 1; the last may be shorter.
+    """
+    rows = numbered(chunks.select("chunkId", *order), order)
+    batches = rows.groupBy((F.floor(F.col("number") / batch_size) + 1).alias("batch")).agg(
+        F.min("number").alias("first"), F.max("number").alias("last"),
+        F.array_sort(F.collect_list(F.struct("number", "chunkId"))).alias("held"))
+    n_batches = -(-rows.count() // batch_size)
+    return batches.select(
+        "batch", F.lit(n_batches).cast("long").alias("n_batches"), (F.col("first") + 1).alias("first_chunk"),
+        (F.col("last") + 1).alias("last_chunk"),
+        F.transform("held", lambda h: h["chunkId"]).alias("chunkIds"))
+
+
 def embed_todo(chunks: DataFrame, embedded: DataFrame, id_col: str = "chunkId") -> DataFrame:
     """Chunks that have no usable vector yet; the rest is not embedded again."""
     done = embedded.filter(F.size(F.col("embedding")) > 0).select(id_col)

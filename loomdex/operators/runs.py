@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex import fixed_values as fv
+from loomdex.operators.ordering import first_in_order
 
 
 def error_code(message: Column) -> Column:
@@ -73,7 +74,7 @@ def next_questions(questions: DataFrame, results: DataFrame, start: str | None =
     todo = questions_from(questions, start) if start else questions
     todo = remaining_questions(todo, results)
     if limit is not None:
-        todo = todo.orderBy("position").limit(limit)
+        todo = first_in_order(todo, ["position"], limit)
     return todo
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomdex.operators.ordering import first_in_order
 from loomdex.operators.validation import duplicate_keys
 
 SHARDS = 1024
@@ -67,10 +68,10 @@ def write_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ())
 
 
 def first_rows(chunks: DataFrame, n: int) -> DataFrame:
-    """The first n chunks in document order (a per-task top-n, then a merge)."""
+    """The first n chunks in document order. They stay spread over tasks, however large n is."""
     if n <= 0:
         raise ValueError(f"n must be positive, got {n}")
-    return chunks.orderBy("documentId", "chunkIndex").limit(n)
+    return first_in_order(chunks, ["documentId", "chunkIndex"], n)
 
 
 def replace_experiment(spark: SparkSession, path: str, records: DataFrame, experiment: str,

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.markup import collapse_space, first_line_title, strip_inline_markup
 from loomdex.functions.text import keywords
-from loomdex.operators import answers, chunks, corpus, embedding, experiments
+from loomdex.operators import answers, bands, chunks, corpus, embedding, experiments
 from loomdex.operators import metrics, retrieval, runs, store, validation
 from loomdex.plans import given_tables as given
+from loomdex.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,7 +169,8 @@ def embed_hashed(spark, folder):
 
 @query
 def embed_batches(spark, folder):
-    return embedding.batch_labels(given.chunks(spark, folder))
+    held = embedding.batch_members(given.chunks(spark, folder))
+    return held.withColumn("chunkIds", F.array_join("chunkIds", ","))
 
 
 @query
@@ -310,10 +312,11 @@ def topk_cosine(spark, folder):
 @query
 def topk_lsh(spark, folder):
     vectors = given.table(spark, folder, "embeddings")
-    found = retrieval.nearest_approximate(
-        vectors.drop("label"), given.label_centroids(spark, folder), 5, dimension=64,
-        chunk_id="vec_id", query_id="label", query_vector="centroid",
-    )
+    # Keys are made once and stored with the vectors, as in use.
+    stored = written(bands.with_band_keys(vectors.drop("label"), 64))
+    asked = written(bands.with_band_keys(given.label_centroids(spark, folder), 64, vector="centroid"))
+    found = bands.nearest_in_bands(
+        stored, asked, 5, chunk_id="vec_id", query_id="label", query_vector="centroid")
     return found.select("label", "rank", "vec_id", r6("cosine"), r6("score"))
 
 

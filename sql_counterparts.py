@@ -374,9 +374,12 @@ SQL["embed_hashed"] = with_(
     DOCS, C800, term_counts("terms", "chunks_800", "chunkId", "text"),
     select='SELECT k AS "chunkId", b AS bucket, n FROM terms')
 SQL["embed_batches"] = with_(DOCS, C800, select="""
-SELECT b AS batch, n_batches, (b - 1) * 50 + 1 AS first_chunk, least(b * 50, n) AS last_chunk
-FROM (SELECT unnest(range(1, n_batches + 1)) AS b, n_batches, n
-      FROM (SELECT count(*) AS n, ceil(count(*) / 50.0)::BIGINT AS n_batches FROM chunks_800))""")
+SELECT (number - 1) // 50 + 1 AS batch, ceil(any_value(n) / 50.0)::BIGINT AS n_batches,
+  min(number) AS first_chunk, max(number) AS last_chunk,
+  string_agg(chunkId, ',' ORDER BY number) AS "chunkIds"
+FROM (SELECT chunkId, count(*) OVER () AS n,
+        row_number() OVER (ORDER BY documentId, chunkIndex) AS number FROM chunks_800)
+GROUP BY 1""")
 
 VECTORS = f"""vector_records AS (
   SELECT e.chunkId, e.text, v.embedding FROM (
@@ -484,6 +487,33 @@ ranked AS (
   SELECT c.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], c.v) AS cosine
   FROM centroids c, embeddings e)
 SELECT label, rank, vec_id, round(cosine, 6) AS cosine, round((1.0 + cosine) / 2.0, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rank
+      FROM ranked) WHERE rank <= 5"""
+SQL["topk_lsh"] = """
+WITH cells AS (
+  SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
+  FROM embeddings),
+centroids AS (
+  SELECT label, list(m ORDER BY pos) AS v
+  FROM (SELECT label, pos, avg(x) AS m FROM cells GROUP BY 1, 2) GROUP BY 1),
+planes AS (
+  SELECT b, j, list(CASE WHEN substr(md5(b || ':' || j || ':' || d), 1, 1) < '8' THEN 1.0 ELSE -1.0 END
+                    ORDER BY d) AS plane
+  FROM range(12) AS t(b), range(10) AS u(j), range(64) AS v(d) GROUP BY 1, 2),
+asked AS (
+  SELECT label, b, sum(CASE WHEN list_dot_product(list_transform(v, lambda x: floor(1024 * x)), plane) >= 0
+                       THEN 1 << j ELSE 0 END)::INTEGER AS key FROM centroids, planes GROUP BY 1, 2),
+stored AS (
+  SELECT vec_id, b, sum(CASE WHEN list_dot_product(
+           list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)), plane) >= 0
+         THEN 1 << j ELSE 0 END)::INTEGER AS key FROM embeddings, planes GROUP BY 1, 2),
+met AS (
+  SELECT DISTINCT a.label, s.vec_id FROM asked a JOIN stored s ON a.b = s.b
+  WHERE bit_count(xor(a.key, s.key)) <= 2),
+ranked AS (
+  SELECT m.label, m.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], c.v) AS cosine
+  FROM met m JOIN centroids c ON c.label = m.label JOIN embeddings e ON e.vec_id = m.vec_id)
+SELECT label, rank, vec_id, round(cosine, 6) AS cosine, round((1.0 + cosine) / 2.0, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rank
       FROM ranked) WHERE rank <= 5"""
 SQL["retrieve_all"] = with_(*FOUND, select="""
