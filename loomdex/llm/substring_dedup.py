@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.partitions import IdFilter, sorted_groups
-from loomdex.session import checkpointed
+from loomdex.session import written
 from loomdex.llm.suffix_automaton import SuffixAutomaton
 from loomdex.llm.word_arrays import Words, slices
 
@@ -157,7 +157,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     key = documents.schema["documentId"].dataType.simpleString()
     often = _fingerprints(documents).groupBy("fingerprint").agg(F.sum("n").alias("n")).filter("n > 1")
     # Fingerprint and content are hashes of different words, so that both name the passage.
-    passages = checkpointed(IdFilter(often.select("fingerprint"), FILTER_BITS).keep(
+    passages = written(IdFilter(often.select("fingerprint"), FILTER_BITS).keep(
         _every_passage(documents, key, False), "fingerprint"))
     at = F.struct("documentId", "start")
     contents = passages.groupBy("fingerprint", "content").agg(
@@ -169,7 +169,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
         .filter(~F.col("first").eqNullSafe(at)).select("row", "start", "windows"))
     several = contents.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("different")).filter(
         "different > 1")
-    heads = checkpointed(contents.join(several, "fingerprint").select(
+    heads = written(contents.join(several, "fingerprint").select(
         F.xxhash64("fingerprint", "first.documentId", "first.start").alias("head"),
         "fingerprint", "first.documentId", "first.start", "different"))
     texts = _every_passage(documents, key, True).withColumn(
@@ -209,7 +209,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """
     documents = documents.select("documentId", "text", _row().alias("row"))
     key = documents.schema["documentId"].dataType.simpleString()
-    ranges = checkpointed(repeated_windows(documents).groupBy("row").agg(
+    ranges = written(repeated_windows(documents).groupBy("row").agg(
         F.collect_list(F.struct("start", "windows")).alias("ranges")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
