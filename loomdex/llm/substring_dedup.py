@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.partitions import IdFilter, sorted_groups
-from loomdex.session import written
 from loomdex.llm.suffix_automaton import SuffixAutomaton
 from loomdex.llm.word_arrays import Words, slices
+from loomdex.session import written
 
 WINDOW_WORDS = 20
 GRAM_WORDS = 5
@@ -174,9 +174,9 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
         "fingerprint", "first.documentId", "first.start", "different"))
     texts = _every_passage(documents, key, True).withColumn(
         "head", F.xxhash64("fingerprint", "documentId", "start")).drop("windows")
-    firsts = IdFilter(heads.select("head"), FILTER_BITS).keep(texts, "head").select(
+    firsts = written(IdFilter(heads.select("head"), FILTER_BITS).keep(texts, "head").select(
         "head", "fingerprint", F.col("content").alias("passage"), "documentId", "row", "start",
-    ).join(heads.select("head", "different"), "head")
+    ).join(heads.select("head", "different"), "head"))
     streamed = (
         firsts.filter(F.col("different") <= SHARD_PASSAGES)
         .select("fingerprint", "documentId", "row", "start", "passage")
