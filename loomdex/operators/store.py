@@ -75,10 +75,20 @@ def first_rows(chunks: DataFrame, n: int) -> DataFrame:
 
 
 def replace_experiment(spark: SparkSession, path: str, records: DataFrame, experiment: str,
-                       key: str = "chunkId", shards: int = SHARDS) -> None:
-    """Clear one experiment and load it anew; other experiments stay as they are."""
+                       key: str = "chunkId", shards: int = SHARDS) -> dict[str, int]:
+    """Clear one experiment and load it anew; other experiments stay as they are.
+
+    Returns the experiment's rows ``before``, ``deleted``, ``inserted`` and ``after``,
+    counted in the stored table.
+    """
+    def stored() -> int:
+        return read_store(spark, path, records.schema).filter(F.col("experiment") == experiment).count()
+
+    before = stored()
     sharded = with_shard(records, key, shards).hint("rebalance", "shard")
     sharded.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/experiment={experiment}")
+    after = stored()
+    return {"before": before, "deleted": before, "inserted": after, "after": after}
 
 
 def swapped(stored: DataFrame, records: DataFrame, experiment: str) -> DataFrame:

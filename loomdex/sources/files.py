@@ -10,8 +10,28 @@ from loomdex import schemas
 
 
 def read_json_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file (or folder of files) holding one pretty-printed JSON array each."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A file (or folder of files) holding one pretty-printed JSON array each.
+
+    A file that is no JSON of this schema is an error when it is read;
+    ``rejected_json_files`` lists such files without failing.
+    """
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def rejected_json_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """file and reason, once per file of a JSON table that cannot be read or only in part."""
+    damaged = "__damaged"
+    full = T.StructType(schema.fields + [T.StructField(damaged, T.StringType())])
+    rows = (
+        spark.read.schema(full).option("multiLine", True)
+        .option("columnNameOfCorruptRecord", damaged).json(path)
+        .select(F.col("_metadata.file_name").alias("file"), schema.fieldNames()[0], damaged))
+    first = F.col(schema.fieldNames()[0])
+    read = first.isNotNull()
+    # Spark refuses a plan that needs the damaged text alone.
+    some = F.col(damaged).isNotNull() & F.coalesce(first.cast("string"), F.col(damaged)).isNotNull()
+    return rows.filter(some).groupBy("file").agg(
+        F.when(F.max(read), "readable in part").otherwise("not readable").alias("reason"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -84,3 +84,29 @@ def test_batch_ingest_writes_rejects(spark, tmp_path):
     assert [r.chunkId for r in done.collect()] == ["one-0000"]
     assert {tuple(r) for r in rejects.collect()} == {
         ("data/raw/two.txt", "empty after cleaning"), ("other.txt", "no manifest entry")}
+
+
+def test_damaged_json_files_fail_and_are_listed(spark, tmp_path):
+    whole = json.dumps(MANIFEST, indent=2)
+    (tmp_path / "good.json").write_text(whole)
+    (tmp_path / "cut.json").write_text(whole[:whole.index('"two"') + 9])
+    (tmp_path / "other.json").write_text("no json at all")
+    assert files.read_manifest(spark, str(tmp_path / "good.json")).count() == 3
+    for name in ("cut.json", "other.json"):
+        with pytest.raises(Exception, match="MALFORMED|CANNOT_READ|FAILED_READ"):
+            files.read_manifest(spark, str(tmp_path / name)).collect()
+    rejects = files.rejected_json_files(spark, str(tmp_path), schemas.MANIFEST).collect()
+    assert sorted(r.file for r in rejects) == ["cut.json", "other.json"]
+    assert files.rejected_json_files(spark, str(tmp_path / "good.json"), schemas.MANIFEST).count() == 0
+
+
+def test_replaced_experiment_is_counted(spark, tmp_path):
+    from loomdex.operators.store import replace_experiment
+
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(f"c{i}", "t") for i in range(30)], "chunkId string, text string")
+    first = replace_experiment(spark, path, rows, "a")
+    assert first == {"before": 0, "deleted": 0, "inserted": 30, "after": 30}
+    replace_experiment(spark, path, rows.limit(7), "b")
+    second = replace_experiment(spark, path, rows.limit(20), "a")
+    assert second == {"before": 30, "deleted": 30, "inserted": 20, "after": 20}
