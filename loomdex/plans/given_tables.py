@@ -5,29 +5,24 @@ Everything here is derived from whole tables; nothing is sampled or cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomdex.functions.vectors import hashed_embedder
 from loomdex.operators.answers import assembled_records, retrieved_lists
 from loomdex.operators.chunks import chunk_documents
 from loomdex.operators.embedding import embed, embedded_rows
 from loomdex.operators.experiments import retrieval_results
+from loomdex.operators.passages import containing_documents
 from loomdex.operators.retrieval import retrieve, valid_questions
 from loomdex.operators.runs import evaluation_results
 
 NO_CONTEXT_ANSWER = (
-    "The available documentation does not provide enough information to answer this question."
+    "Nothing that was found helps here: it does not provide enough information for an answer."
 )
 ANSWER_FROM_COSINE = 0.8    # below it, the stand-in answer says the context is insufficient
 EXPERIMENTS = {"chunk-300": (300, 50), "chunk-800": (800, 100)}
 INPUT_PARTITIONS = "spark.loomdex.inputPartitions"
-_PATTERN_BLOCK_BYTES = 32 << 20
 
 
 SCHEMAS = {
@@ -81,66 +76,14 @@ def chunks(spark: SparkSession, folder: str, experiment: str = "chunk-800") -> D
 
 
 # --- questions ------------------------------------------------------------------
-def _finder(patterns: list[str]):
-    """texts -> positions of the patterns found, in one pass over each text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [i for i, p in enumerate(patterns) if p in text]
-    automaton = ahocorasick.Automaton()
-    for i, p in enumerate(patterns):
-        automaton.add_word(p, i)
-    automaton.make_automaton()
-    return lambda text: {i for _, i in automaton.iter(text)}
-
-
 def first_containing_document(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per item: the document with the smallest number whose text contains the item.
 
-    The passages are shipped in blocks of bounded size, one pass over the documents
-    per block. A task keeps the smallest document per item, so a passage copied
-    into very many documents adds one row per task.
+    The smallest is taken before the shuffle too, so a passage copied into very many
+    documents is one row per task.
     """
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // _PATTERN_BLOCK_BYTES))
-    out = T.StructType([
-        T.StructField("item_id", T.LongType()), T.StructField("doc_id", T.LongType()),
-        T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
-    ])
-
-    def search(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_of = shared.value
-            patterns = list(ids_of)
-            find = _finder(patterns)
-            best: dict[int, tuple] = {}
-            for batch in batches:
-                for number, text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
-                    for at in find(text or ""):
-                        if at not in best or number < best[at][0]:
-                            best[at] = (number, lang, source)
-            rows = [(i, *hit) for at, hit in best.items() for i in ids_of[patterns[at]]]
-            if rows:
-                names = [f.name for f in out.fields]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=names
-                )
-        return run
-
-    passes = []
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
-        ids_of: dict[str, list[int]] = {}
-        for item, text in zip(part["item_id"].to_pylist(), part["text"].to_pylist()):
-            if text:
-                ids_of.setdefault(text, []).append(item)
-        if ids_of:
-            shared = docs.sparkSession.sparkContext.broadcast(ids_of)
-            passes.append(
-                docs.select("doc_id", "text", "lang", "source").mapInArrow(search(shared), out)
-            )
-    found = reduce(DataFrame.union, passes or [docs.sparkSession.createDataFrame([], out)])
+    found = containing_documents(docs, items, document_id="doc_id", passage_id="item_id",
+                                 passage="passage", payload=("lang", "source"))
     first = found.groupBy("item_id").agg(F.min(F.struct("doc_id", "lang", "source")).alias("d"))
     return first.select("item_id", "d.*")
 
@@ -152,7 +95,8 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     passage in no document is out of scope.
     """
     items = table(spark, folder, "benchmark").select("item_id", "text")
-    expected = first_containing_document(spread(table(spark, folder, "documents")), items)
+    expected = first_containing_document(
+        spread(table(spark, folder, "documents")), items.withColumnRenamed("text", "passage"))
     joined = items.join(expected, "item_id", "left")
     known = F.col("doc_id").isNotNull()
     return joined.select(

@@ -133,7 +133,7 @@ RUN_LOG = """run_log AS (
       ELSE 'Request failed for user ' END || repeat(user_id || ' ', 60) || '"}}' END AS message
   FROM (SELECT *, regexp_extract(props, '(\\d+)', 1)::INT AS k FROM events))"""
 
-NO_CONTEXT = "The available documentation does not provide enough information to answer this question."
+NO_CONTEXT = "Nothing that was found helps here: it does not provide enough information for an answer."
 
 RECORDS = f"""lists AS (
   SELECT queryId AS id, list({{'chunkId': chunkId, 'documentId': documentId, 'title': title,
