@@ -114,3 +114,73 @@ def test_swap_counts_and_first_rows(spark):
     with pytest.raises(ValueError):
         store.first_rows(chunks, 0)
     assert store.with_shard(rows(spark, ("a", "1"))).select(F.col("shard").between(0, store.SHARDS - 1)).first()[0]
+
+
+def test_versions_and_digests(spark, tmp_path):
+    path = str(tmp_path / "table")
+    first = rows(spark, *[(f"k{i}", "old") for i in range(100)])
+    assert store.upsert_table(spark, path, first, "a", shards=8) == {
+        "inserted": 100, "matched": 0, "replaced": 0, "deleted": 0}
+    opened = store.read_store(spark, path, SCHEMA)
+
+    # unchanged rows write nothing, a changed row writes its shard only
+    files = sorted(p for p in (tmp_path / "table").rglob("*.parquet"))
+    assert store.upsert_table(spark, path, first.limit(40), "a", shards=8) == {
+        "inserted": 0, "matched": 40, "replaced": 0, "deleted": 0}
+    assert sorted(p for p in (tmp_path / "table").rglob("*.parquet")) == files
+    batch = rows(spark, ("k1", "new"), ("k2", "old"))
+    gone = spark.createDataFrame([("k3",), ("k1",), ("unknown",)], "chunkId string")
+    kept = store.upsert_counts(first, batch).first()
+    counts = store.upsert_table(spark, path, batch, "a", shards=8, removed=gone)
+    assert counts == {**kept.asDict(), "deleted": 1} == {
+        "inserted": 0, "matched": 2, "replaced": 1, "deleted": 1}
+    touched = store.with_shard(rows(spark, ("k1", ""), ("k3", "")), shards=8).select("shard").distinct()
+    new = store.store_manifest(spark, path).filter("data_version = 2").select("shard")
+    assert set(new.collect()) == set(touched.collect())
+    now = store.read_store(spark, path, SCHEMA)
+    assert content(now) == sorted([(f"k{i}", "old") for i in range(100) if i not in (1, 3)] + [("k1", "new")])
+    assert now.columns == ["chunkId", "text", "embedding", "experiment", "shard"]
+
+    # readers keep the version they opened, and older ones can be opened
+    assert content(opened) == content(first) == content(store.read_store(spark, path, SCHEMA, version=1))
+    old = store.superseded_shards(spark, path, keep_from=2)
+    assert set(old.select("version", "shard").collect()) == set(touched.selectExpr("1L AS version", "shard").collect())
+    with pytest.raises(ValueError, match="version 9"):
+        store.superseded_shards(spark, path, keep_from=9)
+
+
+def test_a_load_that_dies_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    store.upsert_table(spark, path, rows(spark, ("a", "1"), ("b", "1")), "x", shards=4)
+    broken = rows(spark, ("a", "2")).withColumn("text", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.replace_experiment(spark, path, broken, "x", shards=4)
+    assert content(store.read_store(spark, path, SCHEMA)) == [("a", "1"), ("b", "1")]
+
+    # rows and manifest are written, the commit is not
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_COMMIT", T.StructType([T.StructField("version", T.BooleanType())]))
+        patch.setattr(store, "store_version", lambda *_: 1)
+        with pytest.raises(Exception):
+            store.replace_experiment(spark, path, rows(spark, ("lost", "2"), ("more", "2")), "x", shards=4)
+    assert content(store.read_store(spark, path, SCHEMA)) == [("a", "1"), ("b", "1")]
+    counts = store.replace_experiment(spark, path, rows(spark, ("c", "3")), "x", shards=4)
+    assert counts == {"before": 2, "deleted": 2, "inserted": 1, "after": 1}
+    assert content(store.read_store(spark, path, SCHEMA)) == [("c", "3")]
+    # an experiment may become empty
+    assert store.replace_experiment(spark, path, rows(spark, ("c", "3")).limit(0), "x")["after"] == 0
+    assert content(store.read_store(spark, path, SCHEMA)) == []
+
+
+def test_digests_tell_nulls_and_places(spark):
+    made = spark.createDataFrame(
+        [("a", None, "x"), ("b", "x", None), ("c", "", "x"), ("d", "x", "")], "chunkId string, s string, t string")
+    lists = spark.createDataFrame([("a", [1.0, None]), ("b", [None, 1.0]), ("c", [1.0])], "chunkId string, v array<float>")
+    for frame in (made, lists):
+        digests = [r[store.DIGEST] for r in store.with_digest(frame).collect()]
+        assert len(set(digests)) == len(digests) and None not in digests
+
+
+def test_experiment_names_are_folder_names(spark, tmp_path):
+    with pytest.raises(ValueError, match="experiment names"):
+        store.upsert_table(spark, str(tmp_path / "t"), rows(spark, ("a", "1")), "a/b")
