@@ -81,11 +81,12 @@ def source_summaries(retrieved: Column) -> Column:
 
 def answer_records(questions: DataFrame, retrieved: DataFrame, answers: DataFrame,
                    no_context_answer: str, *, query_id: str = "queryId") -> DataFrame:
-    """One answer record per question.
+    """One answer record per question that is answered.
 
     ``answers`` has id, answer, retrievalMs, generationMs. A question without
     any chunk gets the fixed answer, counts as insufficient and has no
-    generation time; an insufficient answer has no citations.
+    generation time; an insufficient answer has no citations. A question that has chunks
+    and no answer has no record: it was not run to its end.
     """
     lists = retrieved_lists(retrieved, query_id).withColumnRenamed(query_id, "id")
     joined = (
@@ -97,7 +98,8 @@ def answer_records(questions: DataFrame, retrieved: DataFrame, answers: DataFram
 
 def assembled_records(joined: DataFrame, no_context_answer: str) -> DataFrame:
     """Answer records from rows that already hold everything about a question:
-    id, question, ``retrieved`` list, answer, retrievalMs, generationMs."""
+    id, question, ``retrieved`` list, answer, retrievalMs, generationMs. Rows with chunks
+    and without an answer make none."""
     nothing = F.col("retrieved").isNull()
     answer = F.when(nothing, F.lit(no_context_answer)).otherwise(F.col("answer"))
     generation = F.when(nothing, F.lit(0)).otherwise(F.col("generationMs"))
@@ -107,7 +109,7 @@ def assembled_records(joined: DataFrame, no_context_answer: str) -> DataFrame:
         "answer": answer,
         "insufficient": lacking,
         "generationMs": generation.cast("long"),
-    }).select(
+    }).filter(F.col("answer").isNotNull()).select(
         "id", "question", "answer",
         F.coalesce(
             F.when(~F.col("insufficient"), cited), F.array().cast(ArrayType(CITATION))

@@ -22,7 +22,7 @@ from loomdex import fixed_values as fv
 from loomdex.functions.text import is_blank
 from loomdex.functions.vectors import Embedder, cosine, score_of, sign_sketcher
 from loomdex.operators.embedding import embed
-from loomdex.session import checkpointed
+from loomdex.session import checkpointed, written
 
 MAX_BLOCK_ROWS = 4096     # questions per pass
 MAX_BLOCK_BYTES = 64 << 20  # and at most this much of question matrix
@@ -343,3 +343,19 @@ def retrieve(embedded_chunks: DataFrame, questions: DataFrame, embedder: Embedde
     asked = _embedded_questions(questions, embedder, query_id, text).filter(F.col("error").isNull())
     payload = [c for c in PUBLIC_CHUNK_FIELDS if c in (embedded_chunks if texts is None else texts).columns]
     return nearest(embedded_chunks, asked, k, payload=payload, texts=texts, block_rows=block_rows)
+
+
+def searched(embedded_chunks: DataFrame, questions: DataFrame, embedder: Embedder,
+             k: int = fv.TOP_K, *, query_id: str = "id", text: str = "question",
+             texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of :func:`retrieve`, rows of :func:`failed_questions`), embedding questions once.
+
+    The vectors of the questions are written to the shared folder.
+    """
+    asked = written(_embedded_questions(questions, embedder, query_id, text))
+    failed = asked.filter(F.col("error").isNotNull()).select(
+        F.col("queryId").alias("id"), F.col("error").alias("message"),
+        F.lit(None).cast("long").alias("elapsedMs"))
+    payload = [c for c in PUBLIC_CHUNK_FIELDS if c in (embedded_chunks if texts is None else texts).columns]
+    found = nearest(embedded_chunks, asked.filter(F.col("error").isNull()), k, payload=payload, texts=texts)
+    return found, failed

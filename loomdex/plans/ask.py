@@ -27,11 +27,18 @@ def prompts(questions: DataFrame, embedded_chunks: DataFrame, embedder: Embedder
 
 
 def run_results(questions: DataFrame, retrieved: DataFrame, answers: DataFrame,
-                failures: DataFrame, no_context_answer: str) -> DataFrame:
+                failures: DataFrame, no_context_answer: str,
+                unembedded: DataFrame | None = None) -> DataFrame:
     """Result rows (``schemas.RESULTS``) of a run whose answers have come back.
 
     ``answers``: id, answer, retrievalMs, generationMs; ``failures``: id, message,
-    elapsedMs.
+    elapsedMs. ``unembedded``, in the same shape, are the questions without a vector, which
+    :func:`~loomdex.operators.retrieval.searched` lists: they are errors too, unless
+    ``failures`` has them already. A question with chunks and no answer has no row.
     """
+    if unembedded is not None:
+        columns = ["id", "message", "elapsedMs"]
+        others = unembedded.join(failures.select("id"), "id", "left_anti")
+        failures = failures.select(*columns).unionByName(others.select(*columns))
     records = answer_records(questions, retrieved, answers, no_context_answer)
     return evaluation_results(questions, records, failures)

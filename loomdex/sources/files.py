@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_json_table(spark, path, schemas.MANIFEST)
 
 
-def raw_documents(texts: DataFrame) -> DataFrame:
-    """id and text from a whole-text read; the id is the base name of the file."""
+def raw_documents(texts: DataFrame, *more: Column) -> DataFrame:
+    """id and text from a whole-text read, and ``more``; the id is the base name of the file."""
     name = F.col("_metadata.file_name")
     return texts.select(
-        F.regexp_replace(name, r"\.txt$", "").alias("id"), F.col("value").alias("text")
+        F.regexp_replace(name, r"\.txt$", "").alias("id"), F.col("value").alias("text"), *more
     )
 
 

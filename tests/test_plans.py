@@ -6,7 +6,7 @@ from loomdex import schemas
 from loomdex.functions.vectors import hashed_embedder
 from loomdex.operators.embedding import embedded_rows
 from loomdex.operators.metrics import hit_rates
-from loomdex.operators.retrieval import retrieve
+from loomdex.operators.retrieval import retrieve, searched
 from loomdex.plans.ask import prompts, run_results
 from loomdex.plans.ingest import ingest_plan
 
@@ -41,3 +41,33 @@ def test_whole_way(spark):
     results = run_results(asked.filter("id <> 'Q3'"), found, answers, failures, "nothing")
     rates = hit_rates(results).first()
     assert (rates.n, rates.hit1) == (2, 1.0)
+
+
+def test_unanswered_and_unembeddable_questions(spark):
+    chunks = spark.createDataFrame(
+        [("c1", "d1", "T", "s", "u/d1", "c", 0, "cats purr", 800, 100)], schemas.CHUNKS)
+    embedder = hashed_embedder()
+
+    def refusing(texts):
+        if any("refused" in t for t in texts):
+            raise ValueError("no vector for this text")
+        return embedder(texts)
+
+    from loomdex.operators.embedding import embed
+
+    asked = spark.createDataFrame(
+        [(f"Q{i}", "c", text, "", "d1", "u/d1", "in_scope")
+         for i, text in enumerate(["cats", "cats unanswered", "refused", "refused and known"])], schemas.QUESTIONS)
+    found, unembedded = searched(embedded_rows(embed(chunks, embedder)), asked, refusing)
+    assert {r.queryId for r in found.collect()} == {"Q0", "Q1"}
+    answers = spark.createDataFrame(
+        [("Q0", "Cats purr.", 1, 2), ("Q1", None, 1, 2)], "id string, answer string, retrievalMs long, generationMs long")
+    failures = spark.createDataFrame([("Q3", "429 quota", 7)], "id string, message string, elapsedMs bigint")
+    rows = run_results(asked, found, answers, failures, "nothing", unembedded).collect()
+    got = {r.id: (r.status, r.generatedAnswer, r.error and r.error.message, r.totalLatencyMs) for r in rows}
+    assert got == {
+        "Q0": ("success", "Cats purr.", None, 3),
+        "Q2": ("error", None, "no vector for this text", None),
+        "Q3": ("error", None, "429 quota", 7),
+    }
+    assert len(rows) == 3

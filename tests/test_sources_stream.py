@@ -76,6 +76,55 @@ def test_incremental_ingest(spark, tmp_path):
     assert [tuple(r) for r in rejects] == [("unknown.txt", "no manifest entry")]
 
 
+def test_stream_knows_what_it_has(spark, tmp_path):
+    from collections import Counter
+
+    table, asked = str(tmp_path / "table"), Counter()
+    manifest = spark.createDataFrame([tuple(m.values()) for m in MANIFEST], schemas.MANIFEST)
+    log = tmp_path / "asked"
+    log.mkdir()
+    log_folder, inner = str(log), hashed_embedder()
+
+    def embedder(texts):
+        import os
+        import uuid
+        if any("refused" in t for t in texts):
+            raise ValueError("refused")
+        with open(os.path.join(log_folder, uuid.uuid4().hex), "w") as out:
+            out.write("\n".join(t.split()[0] for t in texts))
+        return inner(texts)
+
+    def run(folder, **texts):
+        asked.clear()
+        seen = set(log.iterdir())
+        (tmp_path / "raw" / folder).mkdir(parents=True)
+        for name, text in texts.items():
+            (tmp_path / "raw" / folder / f"{name}.txt").write_text(text)
+        query = start_ingest(
+            spark, f"{tmp_path}/raw/*", manifest, table, str(tmp_path / "staging"), str(tmp_path / "cp"),
+            embedder, "chunk-300", 300, 50)
+        query.awaitTermination(240)
+        assert query.exception() is None
+        for file in set(log.iterdir()) - seen:
+            asked.update(file.read_text().split("\n"))
+        stored = read_store(spark, table, schemas.EMBEDDED_CHUNKS)
+        return Counter(r.documentId for r in stored.collect()), set(asked)
+
+    long = "\n".join(f"one line number {i} of a text with several chunks" for i in range(30))
+    held, _ = run("a", one=long, two="two as it was", three="three as it was")
+    assert held["one"] > 3 and held["two"] == held["three"] == 1
+    # unchanged, changed, shortened
+    held, embedded = run("b", one="one shortened", two="two as it was", three="three changed")
+    assert held == {"one": 1, "two": 1, "three": 1} and embedded == {"one", "three"}
+    texts = {r.documentId: r.text for r in read_store(spark, table, schemas.EMBEDDED_CHUNKS).collect()}
+    assert texts == {"one": "one shortened", "two": "two as it was", "three": "three changed"}
+    # a text that fails loses its old chunk and is tried again; an empty one is gone
+    held, _ = run("c", one="one refused", two=".. note::\n   gone\n")
+    assert held == {"three": 1}
+    held, embedded = run("d", one="one shortened", three="three changed")
+    assert held == {"one": 1, "three": 1} and embedded == {"one"}
+
+
 def test_batch_ingest_writes_rejects(spark, tmp_path):
     manifest = spark.createDataFrame([tuple(m.values()) for m in MANIFEST], schemas.MANIFEST)
     raw = spark.createDataFrame(
