@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomdex.llm.suffix_automaton import EntryAutomaton
-from loomdex.llm.word_arrays import slices
+from loomdex.llm.word_arrays import memory_returned, slices
 
 MAX_VOCABULARY_BYTES = 64 << 20     # larger files are refused: the vocabulary is broadcast
 CACHED_PIECES = 400_000             # remembered by a task before it starts afresh
@@ -227,6 +227,8 @@ def encode(documents: DataFrame, vocabulary: str, decoded: bool = False) -> Data
             if decoded:
                 columns.append(pa.array([_decoded(i, names) for i in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
+        del codec, names
+        memory_returned()
 
     return rows.mapInArrow(run, out)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.word_arrays import Words, slices
+from loomdex.llm.word_arrays import Words, memory_returned, slices
 
 MAX_LABELLED = 6000     # rows a model is fitted on at most, chosen by a hash of documentId
 
@@ -60,7 +60,10 @@ def fitted(
             held, other = np.zeros((0, features(Words([None])).shape[1]), np.float16), np.zeros((0, 2))
         # One order, whatever the order of the tasks was: sums of floats depend on it.
         order = np.lexsort((other[:, 0], *held[:, :64].T, other[:, 1]))
-        model = fit(held[order].astype(np.float32), other[order, 0].astype(np.float64), other[order, 1])
+        held = held[order].astype(np.float32)
+        model = fit(held, other[order, 0].astype(np.float64), other[order, 1])
+        del held
+        memory_returned()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     sample = rows.mapInArrow(

@@ -9,12 +9,14 @@ What is left of a group is searched with a signature tree: hierarchical nodes ho
 OR of their members' token bitmaps and their size range, and a dual traversal drops node
 pairs whose largest possible overlap is too small. Remaining pairs are verified on the
 exact sets. A first search links each member to its likeliest partner only; the second
-skips node pairs that are in one class already, so that a group of near copies costs
-about as many verifications as it has members.
+looks only at groups that had other possible pairs, and skips node pairs that are in one
+class already, so that a group of near copies costs about as many verifications as it
+has members.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomdex.llm.partitions import IdFilter, components, sorted_groups
-from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, mixed, slices
+from loomdex.llm.word_arrays import SHINGLE_WORDS, Words, memory_returned, mixed, slices
 from loomdex.session import checkpointed
 
 PERCENT = 75
 HOT_SHARE = 0.0004          # shingles of a larger share of the documents come last
 COUNTED_SHINGLES = 1_500_000    # that a task counts together
 BLOCK_MEMBERS = 1000        # larger groups are searched in pairs of blocks of this size
-CELLS = (1 << 31) - 1
-FILTER_BITS = 1 << 26       # of the filter for repeated shingles: eight mebibytes
 FILTERED_MEMBERS = 4000     # members of larger groups all go on to the tree
+SMALL_GROUP = 8             # groups up to this size are looked at together
 MAX_BITS = 1 << 16          # of a bitmap; longer sets only get a weaker bound
 _NODE = 8                   # children of a tree node
 _FRONTIER_WORDS = 1 << 20   # of the bitmaps of node pairs that are looked at together
@@ -256,13 +257,76 @@ def _with_partner(n: np.ndarray, room: np.ndarray) -> np.ndarray:
     return out
 
 
+def _small_with_partner(n: np.ndarray, room: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The same for all groups of one size that start at these rows: a row per group."""
+    at = starts[:, None] + np.arange(size)
+    n, room = n[at], room[at]
+    fits = np.minimum(room[:, :, None], room[:, None, :]) >= _needed(n[:, :, None], n[:, None, :])
+    return (fits & ~np.eye(size, dtype=bool)).any(2)
+
+
+def _id_hashes(ids: pa.ChunkedArray) -> np.ndarray:
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy().astype(np.int64).view(np.uint64)
+    each = (hashlib.blake2b(repr(i).encode(), digest_size=8).digest() for i in ids.to_pylist())
+    return np.frombuffer(b"".join(each), np.uint64)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end where a shingle ends, without the shingles that only one row has.
+
+    Only the rows of a batch and of a group that goes beyond it are held at a time.
+    """
+    def repeated(table: pa.Table) -> pa.Table:
+        shingle = table["shingle"].to_numpy()
+        same = shingle[1:] == shingle[:-1]
+        return table.filter(pa.array(np.append(same, False) | np.append(False, same)))
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        shingle = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(shingle, shingle[-1]))
+        if cut or held and held[0]["shingle"][0].as_py() != int(shingle[-1]):
+            yield repeated(pa.concat_tables([*held, table.slice(0, cut)]))
+            held = []
+        held.append(table.slice(cut))
+    if held:
+        yield repeated(pa.concat_tables(held))
+    held.clear()
+    memory_returned()
+
+
 def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in sorted_groups(batches, 1):
-        if group.num_rows <= FILTERED_MEMBERS:
-            n, room = (group[c].to_numpy().astype(np.int64) for c in ("n", "room"))
-            group = group.filter(pa.array(_with_partner(n, room)))
-        count = pa.array(np.full(group.num_rows, group.num_rows))
-        yield from group.append_column("members", count).to_batches()
+    """Members that may have a partner; how many, and two values that stand for who they are."""
+    for table in _whole_groups(batches):
+        if not table.num_rows:
+            continue
+        n, room = (table[c].to_numpy().astype(np.int64) for c in ("n", "room"))
+        keep = np.ones(len(n), bool)
+        shingle = table["shingle"].to_numpy()
+        starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        sizes = np.diff(np.append(starts, len(n)))
+        for size in range(2, SMALL_GROUP + 1):
+            of_size = starts[sizes == size]
+            keep[of_size[:, None] + np.arange(size)] = _small_with_partner(n, room, of_size, size)
+        large = (sizes > SMALL_GROUP) & (sizes <= FILTERED_MEMBERS)
+        for start, size in zip(starts[large].tolist(), sizes[large].tolist()):
+            part = slice(start, start + size)
+            keep[part] = _with_partner(n[part], room[part])
+        table, shingle = table.filter(pa.array(keep)), shingle[keep]
+        if not len(shingle):
+            continue
+        starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        sizes = np.diff(np.append(starts, len(shingle)))
+        ids = _id_hashes(table["id"])
+        who = np.bitwise_xor.reduceat(mixed(ids), starts)
+        also = np.add.reduceat(mixed(ids * np.uint64(0x9FB21C651E98DF25) + np.uint64(11)), starts)
+        for name, values in (("members", sizes), ("who", who.view(np.int64)), ("also", also.view(np.int64))):
+            table = table.append_column(name, pa.array(np.repeat(values, sizes)))
+        yield from table.to_batches()
 
 
 def _groups(documents: DataFrame, key: str, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -274,27 +338,21 @@ def _groups(documents: DataFrame, key: str, hot: np.ndarray) -> tuple[DataFrame,
     representatives = checkpointed(_sketches(documents, key, hot).groupBy("name1", "name2").agg(
         F.min("documentId").alias("id"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
-    # Most shingles are met once. Counts of narrow cells find those that may be met more
-    # often, so that the entries of the others are not shuffled.
-    entries = _entries(representatives, key).withColumn(
-        "cell", F.pmod("shingle", F.lit(CELLS)).cast("int"))
-    often = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    entries = IdFilter(often.select("cell"), FILTER_BITS).keep(entries, "cell").drop("cell")
-    groups = entries.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"),
-        F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("also")).filter("size > 1")
-    chosen = groups.groupBy("who", "also", "size").agg(F.min("shingle").alias("shingle"))
-    light = entries.join(chosen.select("shingle"), "shingle", "left_semi").repartition(
-        "shingle").sortWithinPartitions("shingle").mapInArrow(
-        _partnered, f"shingle long, id {key}, n int, room int, members long")
+    # Every entry is shuffled once; most have no other of their shingle and end there.
+    partnered = _entries(representatives, key).repartition("shingle").sortWithinPartitions(
+        "shingle").mapInArrow(
+        _partnered, f"shingle long, id {key}, n int, room int, members long, who long, also long")
+    chosen = partnered.groupBy("who", "also", "members").agg(F.min("shingle").alias("shingle"))
+    light = partnered.drop("who", "also").join(chosen.select("shingle"), "shingle", "left_semi")
     return checkpointed(light), representatives.select("id", "bitmap")
 
 
 def _candidates(members: DataFrame, bitmaps: DataFrame, key: str, spanning: bool) -> DataFrame:
     """Pairs (a, b) of ids whose bitmaps leave room for a link; ``class`` differs.
 
-    ``spanning``: the best partner of each member only. Large groups are cut into blocks;
-    a spanning search looks within blocks, a full one at all pairs of blocks.
+    ``spanning``: the best partner of each member only; ``shingle`` is set where the group
+    has other pairs. Large groups are cut into blocks; a spanning search looks within
+    blocks, a full one at all pairs of blocks.
     """
     blocks = F.ceil(F.col("members") / F.lit(BLOCK_MEMBERS)).cast("int")
     rows = members.join(bitmaps, "id").withColumn("blocks", blocks).withColumn(
@@ -317,8 +375,9 @@ def _candidates(members: DataFrame, bitmaps: DataFrame, key: str, spanning: bool
             sizes, room = (group[c].to_numpy().astype(np.int64) for c in ("n", "room"))
             tree = SignatureTree(sizes, room, group["bitmap"].to_pylist(), classes)
             best: dict[int, tuple[float, int]] = {}
-            left, right = [], []
+            left, right, possible = [], [], 0
             for a, b, most in tree.pairs():
+                possible += len(a)
                 if spanning:
                     share = most / (sizes[a] + sizes[b])
                     for x, y, s in zip(a.tolist(), b.tolist(), share.tolist()):
@@ -327,17 +386,20 @@ def _candidates(members: DataFrame, bitmaps: DataFrame, key: str, spanning: bool
                     left.append(a)
                     right.append(b)
             if spanning:
-                left, right = [np.array(list(best), np.int64)], [
-                    np.array([v[1] for v in best.values()], np.int64)]
-            ids = group["id"].combine_chunks()
+                taken = sorted({(min(x, y), max(x, y)) for x, (_, y) in best.items()})
+                left, right = (np.array([p[i] for p in taken], np.int64)[None] for i in (0, 1))
+                possible -= len(taken)
+            ids, shingle = group["id"].combine_chunks(), group["shingle"][0].as_py()
             for a, b in zip(left, right):
                 if len(a):
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+                        [ids.take(pa.array(a)), ids.take(pa.array(b)),
+                         pa.array([shingle if possible else None] * len(a), pa.int64())],
+                        names=["a", "b", "shingle"])
 
     found = rows.repartition("shingle", "pair").sortWithinPartitions("shingle", "pair").mapInArrow(
-        run, f"a {key}, b {key}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        run, f"a {key}, b {key}, shingle long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shingle")
 
 
 def _room_left(left: np.ndarray, right: np.ndarray) -> int:
@@ -352,7 +414,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, key: str, exact: bool) ->
 
     Sixteen bits can only make sets more similar, and are a quarter of what is shuffled.
     """
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(pairs.select("a", "b").distinct())
     kind = np.uint64 if exact else np.uint16
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +424,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, key: str, exact: bool) ->
                 names=["id", "set"])
 
     met = IdFilter(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    known = met.keep(documents, "documentId").mapInArrow(sets, f"id {key}, set binary")
+    known = met.keep(documents, "documentId", then=sets, schema=f"id {key}, set binary")
     rows = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(
         known.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
 
@@ -390,15 +452,23 @@ def linked(documents: DataFrame) -> DataFrame:
     has the distinct five-word shingles, with fewer words the whole sequence. Documents
     link when 100 x shared >= 75 x united; componentId is the smallest documentId
     reachable. Null, empty and wordless texts have no shingles and link with nothing.
-    Rows that share a documentId are one document and share its class.
+    Rows that share a documentId are one document and share its class. A null documentId
+    names no document: such rows get their nShingles, link with nothing, and have a null
+    componentId.
     """
     documents = documents.select("documentId", "text")
     key = documents.schema["documentId"].dataType.simpleString()
     named, hot = _names_and_hot(documents, key)
+    documents = documents.filter(F.col("documentId").isNotNull())
     members, bitmaps = _groups(documents, key, hot)
     alone = members.withColumn("class", F.xxhash64("id"))
-    first = checkpointed(_links(documents, _candidates(alone, bitmaps, key, True), key))
+    found = checkpointed(_candidates(alone, bitmaps, key, True))
+    first = checkpointed(_links(documents, found, key))
     classes = components(first)
+    # Groups whose possible pairs are all among the found ones are done.
+    unfinished = found.select("shingle").dropna().distinct().withColumn("more", F.lit(True))
+    members = members.join(unfinished, "shingle", "left").filter(
+        F.col("more") | (F.col("members") > BLOCK_MEMBERS)).drop("more")
     classed = members.join(classes, "id", "left").withColumn(
         "class", F.xxhash64(F.coalesce("component", "id"))).drop("component")
     mixed_groups = classed.groupBy("shingle").agg(
@@ -406,12 +476,12 @@ def linked(documents: DataFrame) -> DataFrame:
     classed = classed.join(mixed_groups.select("shingle"), "shingle", "left_semi")
     second = _links(documents, _candidates(classed, bitmaps, key, False), key)
     final = components(first.union(second))
-    holders = named.filter("n > 0").groupBy("name1", "name2").agg(F.min("documentId").alias("id"))
+    holders = named.filter("n > 0 and documentId is not null").groupBy("name1", "name2").agg(F.min("documentId").alias("id"))
     holders = holders.join(final, "id", "left").select(
         F.col("name1").alias("_1"), F.col("name2").alias("_2"),
         F.coalesce("component", "id").alias("component"))
     return named.join(
-        holders, (F.col("n") > 0) & (F.col("name1") == F.col("_1")) & (F.col("name2") == F.col("_2")),
+        holders, (F.col("n") > 0) & F.col("documentId").isNotNull() & (F.col("name1") == F.col("_1")) & (F.col("name2") == F.col("_2")),
         "left",
     ).select("documentId", F.col("n").alias("nShingles"),
              F.coalesce("component", "documentId").alias("componentId"))

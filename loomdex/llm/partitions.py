@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.llm.word_arrays import memory_returned
 from loomdex.session import checkpointed
 
 FILTER_BITS = 1 << 23       # an id filter has one mebibyte, whatever the table's size
@@ -44,6 +45,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
         held.append(table.slice(cuts[-2]))
     if held:
         yield pa.concat_tables(held)
+    held.clear()
+    memory_returned()
 
 
 class IdFilter:
@@ -68,11 +71,18 @@ class IdFilter:
     def _places(self, key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(self.bits)) for i in range(_FILTER_HASHES)]
 
-    def keep(self, rows: DataFrame, column: str, met: bool = True) -> DataFrame:
-        """The rows whose ``column`` is probably met; or, if not ``met``, surely is not."""
+    def keep(
+        self, rows: DataFrame, column: str, met: bool = True,
+        then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+        schema: str | None = None,
+    ) -> DataFrame:
+        """The rows whose ``column`` is probably met; or, if not ``met``, surely is not.
+
+        ``then`` makes rows of ``schema`` of them in the same pass and the same worker.
+        """
         shared, width = self.shared, len(rows.columns)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = np.ones(batch.num_rows, bool)
                 for i in range(width, batch.num_columns):
@@ -82,8 +92,11 @@ class IdFilter:
                     batch.columns[:width], names=batch.schema.names[:width],
                 ).filter(pa.array(found == met))
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from then(passing(batches)) if then else passing(batches)
+
         places = [p.alias(f"_place{i}") for i, p in enumerate(self._places(F.col(column)))]
-        return rows.select("*", *places).mapInArrow(run, rows.schema)
+        return rows.select("*", *places).mapInArrow(run, schema or rows.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ separators are ASCII, so words of UTF-8 text can be found on its bytes. Hashes a
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -47,6 +48,14 @@ def worker_cached(key: Any, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def memory_returned() -> None:
+    """Give freed memory back to the system: a worker keeps it while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for n positions at least."""
     held = worker_cached("powers", dict)
@@ -139,3 +148,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES
                 piece = batch.slice(start, i + 1 - start)
                 yield piece, piece.column(text).to_pylist()
                 start, size = i + 1, 0
+    batch = piece = None
+    memory_returned()
