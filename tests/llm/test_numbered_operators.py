@@ -6,6 +6,7 @@ import string
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,41 @@ def test_hot_shingles_are_those_of_many_documents(spark, monkeypatch):
     assert named.count() == 24 and len(hot) == 1
 
 
+@pytest.mark.parametrize("rows", [1, 3, 50, 10_000])
+def test_groups_of_entries_in_any_batches(rows):
+    """Members with a possible partner, against every pair; groups go on beyond batches."""
+    rng = np.random.default_rng(3)
+    shingle = np.sort(np.concatenate([rng.integers(0, 400, 600), np.full(60, 77), np.arange(1000, 1040)]))
+    n = rng.integers(20, 60, len(shingle))
+    room = n - rng.integers(0, 12, len(shingle))
+    table = pa.table({"shingle": shingle, "id": np.arange(len(shingle)), "n": n.astype(np.int32),
+                      "room": room.astype(np.int32)})
+    expected = {}
+    for i in range(len(shingle)):
+        if any(i != j and shingle[i] == shingle[j] and min(room[i], room[j]) >= ngram_join._needed(n[i], n[j])
+               for j in range(len(shingle))):
+            expected.setdefault(int(shingle[i]), set()).add(i)
+    found = pa.Table.from_batches(list(ngram_join._partnered(iter(table.to_batches(rows))))).to_pylist()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["shingle"], set()).add(r["id"])
+        assert r["members"] == len(expected[r["shingle"]])
+    assert groups == expected
+    assert len({(r["who"], r["also"]) for r in found}) == len(expected)
+
+
+def test_ngram_join_of_null_and_text_ids(spark):
+    """A null documentId names no document; what it holds links with nothing."""
+    other = " ".join([*WORDS[:-1], "other"])
+    rows = [(None, BASE), (None, other), ("b", BASE), ("a", other), ("c", prose(9, 30)), (None, None)]
+    found = ngram_join.linked(spark.createDataFrame(rows, "documentId string, text string")).collect()
+    assert sorted((str(r.documentId), r.nShingles, str(r.componentId)) for r in found) == sorted([
+        ("None", 56, "None"), ("None", 56, "None"), ("b", 56, "a"), ("a", 56, "a"), ("c", 26, "c"),
+        ("None", 0, "None")])
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "documentId string, text string"))
+    assert sorted(str(r.documentId) for r in kept.collect()) == ["None", "None", "None", "a", "c"]
+
+
 def lines_kept(texts, run=line_dedup.RUN_LINES):
     seen, out = set(), []
     for text in texts:
